@@ -1,17 +1,71 @@
-"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark passages, packing."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark passages, packing.
+
+Each stage takes what its predecessor kept and returns the columns of
+``documents``; the last returns the packed pieces. ``run`` writes each
+stage's result to the shared folder and reads it back, so a lost executor
+costs no finished stage.
+
+SQL can't express the classifier and the tokeniser, so there is no SQL for
+the whole; tests hold every stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinfold.llm import packing, quality
 from kinfold.llm.common import materialize
+from kinfold.llm.decontaminate import remove_contaminated
+from kinfold.llm.ngram_join import keep_one
+from kinfold.llm.substring_dedup import dedup_substrings
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest doc_id."""
+    return keep_one(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a smaller doc_id holds too; n_chars follows the text."""
+    left = dedup_substrings(docs)
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, changed).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verbatim benchmark window."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in packed sequences."""
+    pieces = packing.pack(docs)
+    return pieces.select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("passages", passage_stage),
+    ("benchmark", benchmark_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and reread."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
