@@ -1,7 +1,7 @@
 """Licence scans with a positional index of rare words, in DataFrame functions alone.
 
 1. Each text becomes its words; only licence words stay, with their places
-   (words that are common in prose only beside a rarer licence word).
+   (words that are common in prose only within two words of a rarer licence word).
 2. The document frequency of every licence word gives its inverse document
    frequency; the vocabulary is that of the templates, so this is a short list.
 3. A template is looked up at its rarest word: each place of that word
@@ -65,7 +65,7 @@ TEMPLATES = (
     Template("creative commons attribution license", "cc", key="creative commons", least=0.5),
     Template("copyright holders all rights reserved", "all-rights-reserved", at=2, key="all rights reserved", least=0.6),
 )
-#: Words that prose is full of; they count only next to another licence word.
+#: Words that prose is full of; they count only within two words of a rarer licence word.
 COMMON = ("by", "all", "under", "version", "2")
 
 
@@ -86,8 +86,8 @@ def licence_words(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLAT
     own = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("words"))
 
     def pick(w: Column, i: Column) -> Column:
-        beside = F.get(F.col("words"), i - 1).isin(rare) | F.get(F.col("words"), i + 1).isin(rare)
-        take = w.isin(rare) | (w.isin(*COMMON) & F.coalesce(beside, F.lit(False)))
+        near = [F.coalesce(F.get(F.col("words"), i + j).isin(rare), F.lit(False)) for j in (-2, -1, 1, 2)]
+        take = w.isin(rare) | (w.isin(*COMMON) & (near[0] | near[1] | near[2] | near[3]))
         return F.when(take, F.struct(w.alias("w"), i.alias("i")))
 
     own = own.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array_compact(F.transform("words", pick)).alias("hits"))

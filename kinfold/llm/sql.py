@@ -1,5 +1,88 @@
-"""DuckDB SQL for the corpus queries that SQL can express."""
+"""DuckDB SQL for the corpus queries that SQL can express: the joins, scans, formats and windows. Classifiers, tokenisers and stored media have none."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from kinfold.llm.decontaminate import WINDOW as TEST_WINDOW
+from kinfold.llm.license_scan import TEMPLATES
+from kinfold.llm.ngram_join import PERCENT, SHINGLE
+from kinfold.llm.substring_dedup import WINDOW
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str, pattern: str) -> str:
+    """CTEs: d (row r, doc_id, n words) and w (r, doc_id, n, i from 1, word)."""
+    return f"""d0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({text}, '{pattern}') AS words FROM documents),
+d AS (SELECT r, doc_id, len(words) AS n FROM d0),
+w AS (SELECT r, doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d0)"""
+
+
+def _ahead(k: int, by: str = "r") -> str:
+    return "concat_ws(' ', word" + "".join(f", lead(word, {j}) OVER (PARTITION BY {by} ORDER BY i)" for j in range(1, k)) + ")"
+
+
+_OP1 = f"""WITH RECURSIVE {_words(_LOWER.format("text"), _SPACED)},
+s AS (SELECT DISTINCT r, s FROM (SELECT r, n, i, {_ahead(SHINGLE)} AS s FROM w) WHERE i <= greatest(n - {SHINGLE - 1}, 1)),
+c AS (SELECT r, count(*) AS k FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN c x ON x.r = p.a JOIN c y ON y.r = p.b WHERE 100 * p.k >= {PERCENT} * (x.k + y.k - p.k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT DISTINCT a AS r, a AS x FROM e UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.x),
+m AS (SELECT reach.r, min(d.doc_id) AS least FROM reach JOIN d ON d.r = reach.x GROUP BY reach.r),
+f AS (SELECT a AS r, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(c.k, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id, coalesce(f.links, 0) AS n_links FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r) LEFT JOIN f USING (r)"""
+
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+_ROLE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+_OP5 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+  sum(12 + length({_ESCAPED.format(_ROLE)}) + 1 + length({_ESCAPED.format("text")}) + 11)::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+
+def _op7() -> str:
+    reach = max(len(t.words) for t in TEMPLATES)
+    at = lambda j: "word" if j == 0 else f"{'lead' if j > 0 else 'lag'}(word, {abs(j)}) OVER o"
+    places = {j: f"x{j + reach}" for j in range(-reach, reach + 1)}
+    parts = []
+    for t in TEMPLATES:
+        key = " AND ".join(f"{places[j]} = '{w}'" for j, w in enumerate(t.phrase))
+        share = " + ".join(f"coalesce(({places[j - t.at]} = '{w}')::INT, 0)" for j, w in enumerate(t.words))
+        parts.append(f"SELECT r, i - 1 AS place, '{t.label}' AS label, {t.base} AS base, ({share}) / {len(t.words)}.0::DOUBLE AS share FROM x WHERE {key} AND ({share}) / {len(t.words)}.0::DOUBLE >= {t.least}")
+    return f"""WITH {_words(_LOWER.format("text"), _ALNUM)}, x AS (SELECT r, i, {", ".join(f"{at(j)} AS {n}" for j, n in places.items())} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+m AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m GROUP BY r)
+SELECT d.doc_id, d.n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN g USING (r)"""
+
+
+_OP9 = f"""WITH {_words(_LOWER.format("text"), _ALNUM)},
+b0 AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS words FROM benchmark),
+b AS (SELECT r, coalesce(item_id::VARCHAR, 'null') AS item, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM b0),
+t AS (SELECT DISTINCT item, least(n, {TEST_WINDOW}) AS l, s FROM (SELECT item, n, i, {_ahead(TEST_WINDOW)} AS s FROM b) WHERE i <= greatest(n - {TEST_WINDOW - 1}, 1)),
+v AS ({" UNION ALL ".join(f"SELECT r, i, {k} AS l, s FROM (SELECT r, n, i, {_ahead(k)} AS s FROM w) WHERE i <= n - {k - 1} AND {k} IN (SELECT l FROM t)" for k in range(1, TEST_WINDOW + 1))}),
+h AS (SELECT v.r, v.i, v.l, t.item FROM v JOIN t ON t.l = v.l AND t.s = v.s),
+q AS (SELECT r, i, max(i + l) AS upto FROM h GROUP BY ALL),
+k AS (SELECT w.r, w.i, max(upto) OVER (PARTITION BY w.r ORDER BY w.i) AS upto FROM w LEFT JOIN q ON q.r = w.r AND q.i = w.i WHERE w.r IN (SELECT r FROM q)),
+n AS (SELECT r, count(*) AS n_hit FROM k WHERE upto > i GROUP BY r),
+g AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT d.doc_id, d.n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)"""
+
+_OP10 = f"""WITH {_words("coalesce(text, '')", _SPACED)},
+v AS (SELECT r, doc_id, i, n, word, CASE WHEN i <= n - {WINDOW - 1} THEN {_ahead(WINDOW)} END AS s FROM w),
+f AS (SELECT s, min(doc_id) AS least FROM v WHERE s IS NOT NULL GROUP BY s),
+c AS (SELECT v.r, v.i, v.word, max(coalesce((f.least < v.doc_id)::INT, 0)) OVER (PARTITION BY v.r ORDER BY v.i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM v LEFT JOIN f ON f.s = v.s),
+g AS (SELECT r, sum(gone)::BIGINT AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM c GROUP BY r)
+SELECT d.doc_id, d.n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)"""
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": _OP1,
+    "op5_chat_formatting": _OP5,
+    "op7_license_scan": _op7(),
+    "op9_benchmark_decontamination": _OP9,
+    "op10_substring_dedup": _OP10,
+}
