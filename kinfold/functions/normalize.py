@@ -69,8 +69,8 @@ def _lookup(mapping: Mapping[str, str]) -> Column:
 
 
 def mapped(word: Column, mapping: Mapping[str, str]) -> Column:
-    """The mapping's value of a word, or the word."""
-    return F.coalesce(F.try_element_at(_lookup(mapping), word), word)
+    """The mapping's value of a word, or the word; the hashed membership test spares other words the search of the map."""
+    return F.when(word.isin(*mapping), F.coalesce(F.try_element_at(_lookup(mapping), word), word)).otherwise(word)
 
 
 def name_tokens(folded: Column) -> Column:
