@@ -43,8 +43,9 @@ class Trees:
         vector = VectorAssembler(inputCols=self.columns, outputCol="__x", handleInvalid="keep")
         gbt = GBTClassifier(
             featuresCol="__x", labelCol=label, maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, subsamplingRate=self.subsample,
-            featureSubsetStrategy=self.column_share, minInstancesPerNode=self.least_rows, maxBins=self.bins, seed=self.seed, predictionCol="__p", rawPredictionCol="__r", probabilityCol="__q",
+            featureSubsetStrategy=self.column_share, minInstancesPerNode=self.least_rows, maxBins=self.bins, seed=self.seed, predictionCol="__p",
         )
+        gbt = gbt.setRawPredictionCol("__r").setProbabilityCol("__q")
         if weight:
             gbt = gbt.setWeightCol(weight)
         if validate:
