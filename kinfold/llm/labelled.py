@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,27 @@ def dealt(id_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(SEED))
 
 
+def _labels(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """__id and __label (the smallest) of ids outside the held-out fold."""
+    own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    own = own.where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out("__id", MOD, REST))
+    return own.groupBy("__id").agg(F.min("__label").alias("__label"))
+
+
+def counts(labels: DataFrame, label_col: str, id_col: str) -> dict[int, int]:
+    """Labelled ids of each class outside the held-out fold."""
+    return {r[0]: r[1] for r in _labels(labels, label_col, id_col).groupBy("__label").count().collect()}
+
+
+def weights(y: np.ndarray, counts: dict[int, int] | None) -> np.ndarray:
+    """A weight for each sampled label, so that classes weigh as they do among all labels; 1 on average."""
+    if not counts:
+        return np.ones(len(y))
+    total = sum(counts.values())
+    share = {v: counts.get(v, 0) / total / max((y == v).mean(), 1e-9) for v in (0, 1)}
+    return np.where(y == 1, share[1], share[0])
+
+
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, extra: tuple[str, ...] = ()) -> list[tuple]:
     """(label, text, *extra) of at most ``per_class`` whole documents of each class outside the held-out fold.
 
@@ -26,9 +48,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     order of ids, up to ``class_bytes`` of text. An id with several labels
     counts with the smallest; null labels and texts don't count.
     """
-    own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    own = own.where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out("__id", MOD, REST))
-    one = own.groupBy("__id").agg(F.min("__label").alias("__label"))
+    one = _labels(labels, label_col, id_col)
     few = None
     for value in (0, 1):
         part = one.where(F.col("__label") == value).orderBy(dealt("__id"), "__id").limit(per_class)

@@ -1,16 +1,19 @@
 """Quality by compression.
 
 Two zstandard dictionaries are built from documents labelled good and bad.
-A text is cut into blocks, each block is compressed with either dictionary,
-and d = (bad - good) / (bad + good) of the summed sizes says whose vocabulary
-and form it shares. A logistic curve fitted on labelled documents that built
-neither dictionary turns d into a score.
+A text is cut into blocks and each block is compressed with either. How much
+smaller the good dictionary makes it, normalised by the text's bytes, says
+whose vocabulary and form the text shares. Beside this difference stand its
+share of the compressed sizes, its worst block, and the smaller size itself
+(copies of one word shrink under any dictionary). A logistic curve fitted on
+labelled documents that built neither dictionary turns the four into a score;
+its classes weigh as they do among all labels.
 
 The labelled sample is bounded (``labelled.PER_CLASS``, ``CLASS_BYTES``);
 every text is scored whole. Nothing is shuffled but the sample.
 
-Defined results: a null or empty text has d = 0 and the score of that point;
-without labels of both classes every score is 0.5.
+Defined results: a null or empty text has difference 0 and the score of the
+point 0, 0, 0, 1; without labels of both classes every score is 0.5.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from kinfold.llm import labelled
 from kinfold.llm import wordhash as W
 from kinfold.llm.common import small_batches
 
-BLOCK = 2048
-DICTIONARY_BYTES = 96 << 10
+BLOCK = 1024
+DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
 #: Of five sampled documents, this many build dictionaries; the others fit the curve.
 BUILD = 3
@@ -40,8 +43,7 @@ ACCEPT = 0.7
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    curve: Curve | None = None
 
 
 def blocks(raw: memoryview | bytes) -> Iterator[bytes]:
@@ -69,55 +71,69 @@ class Scorer:
         known.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
 
-    def difference(self, raw: memoryview | bytes) -> float:
+    def features(self, raw: memoryview | bytes) -> tuple[float, float, float, float]:
+        """(bad - good) / bytes, (bad - good) / (bad + good), the least of the latter over blocks, and min(bad, good) / bytes."""
         good = bad = 0
+        worst = 1.0
         for b in blocks(raw):
-            good += len(self.with_good.compress(b))
-            bad += len(self.with_bad.compress(b))
-        return (bad - good) / (bad + good) if good else 0.0
+            g, h = len(self.with_good.compress(b)), len(self.with_bad.compress(b))
+            good, bad, worst = good + g, bad + h, min(worst, (h - g) / (h + g))
+        if not good:
+            return 0.0, 0.0, 0.0, 1.0
+        return (bad - good) / len(raw), (bad - good) / (bad + good), worst, min(bad, good) / len(raw)
 
-    def score(self, d: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.model.slope * d + self.model.intercept, -500, 500)))
+
+@dataclass
+class Curve:
+    """A logistic curve of several features."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray  # the last: intercept
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of the likeliest curve, by damped Newton steps on standardised x."""
-    mean, spread = x.mean(), x.std() or 1.0
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.05) -> Curve:
+    """The likeliest curve of rows of features, by damped Newton steps on standardised features."""
+    weight = np.ones(len(y)) if weight is None else weight
+    mean, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    w = np.zeros(2)
-    loss = lambda v: np.logaddexp(0, -(2 * y - 1) * (z @ v)).sum() + ridge * v @ v / 2
-    for _ in range(50):
+    w = np.zeros(z.shape[1])
+    loss = lambda v: (weight * np.logaddexp(0, -(2 * y - 1) * (z @ v))).sum() + ridge * v @ v / 2
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (weight * (p - y)) + ridge * w)
         size = 1.0
         while loss(w - size * step) > loss(w) and size > 1e-4:
             size /= 2
         w = w - size * step
         if np.abs(step).max() < 1e-9:
             break
-    return w[0] / spread, w[1] - w[0] * mean / spread
+    return Curve(mean, spread, w)
 
 
-def fit(rows: list[tuple]) -> Model | None:
-    """A model of (label, text) rows; None without both classes."""
+def fit(rows: list[tuple], counts: dict[int, int] | None = None) -> Model | None:
+    """A model of (label, text) rows; None without both classes. ``counts``: labelled documents of each class beyond the sample."""
     good, bad = ([r[1].encode() for r in rows if r[0] == v] for v in (1, 0))
     if not good or not bad:
         return None
     part = lambda texts: ([t for i, t in enumerate(texts) if i % 5 < BUILD], [t for i, t in enumerate(texts) if i % 5 >= BUILD] or texts)
     (good, good_left), (bad, bad_left) = part(good), part(bad)
-    model = Model(dictionary(good), dictionary(bad), 0.0, 0.0)
+    model = Model(dictionary(good), dictionary(bad))
     scorer = Scorer(model)
-    left = [t for t in good_left + bad_left]
-    x = np.array([scorer.difference(t) for t in left])
+    x = np.array([scorer.features(t) for t in good_left + bad_left])
     y = np.array([1.0] * len(good_left) + [0.0] * len(bad_left))
-    model.slope, model.intercept = logistic(x, y)
+    model.curve = logistic(x, y, labelled.weights(y, counts))
     return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **bounds) -> DataFrame:
     """``docs`` with difference, score and predicted (1 if score >= 0.7); columns of these names are replaced."""
     small_batches(docs.sparkSession)
-    model = fit(labelled.sample(docs, labels, label_col, id_col, text_col, **bounds))
+    model = fit(labelled.sample(docs, labels, label_col, id_col, text_col, **bounds), labelled.counts(labels, label_col, id_col))
     own = docs.drop("difference", "score", "predicted")
     names = own.columns
 
@@ -127,8 +143,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             data, at = W.bytes_of(W.as_strings(batch.column(text_col)))
             view = memoryview(data)
             if scorer:
-                d = np.array([scorer.difference(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], float)
-                score = scorer.score(d)
+                x = np.array([scorer.features(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], float).reshape(-1, 4)
+                d, score = x[:, 0], model.curve(x)
             else:
                 d, score = np.zeros(len(at) - 1), np.full(len(at) - 1, 0.5)
             yield pa.record_batch([*batch.columns, pa.array(d), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[*names, "difference", "score", "predicted"])

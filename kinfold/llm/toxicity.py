@@ -165,19 +165,19 @@ class _Net:
             self.p[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The threshold of the best F1, between two scores."""
     order = np.argsort(-p)
-    hit = np.cumsum(y[order])
-    f = 2 * hit / (np.arange(1, len(p) + 1) + max(y.sum(), 1))
+    hit = np.cumsum((y * weight)[order])
+    f = 2 * hit / (np.cumsum(weight[order]) + max((y * weight).sum(), 1e-9))
     last = np.append(p[order][1:] != p[order][:-1], True)
     k = int(np.argmax(np.where(last, f, -1)))
     low = p[order][k + 1] if k + 1 < len(p) else 0.0
     return float(np.clip((p[order][k] + low) / 2, 0.02, 0.98))
 
 
-def fit(rows: list[tuple]) -> Model | None:
-    """A model of (label, text, lang) rows; None without both classes."""
+def fit(rows: list[tuple], counts: dict[int, int] | None = None) -> Model | None:
+    """A model of (label, text, lang) rows; None without both classes. ``counts``: labelled documents of each class beyond the sample."""
     if len({r[0] for r in rows}) < 2:
         return None
     rows = [r for v in (1, 0) for r in [x for x in rows if x[0] == v]]
@@ -212,7 +212,7 @@ def fit(rows: list[tuple]) -> Model | None:
             net.step([docs[i] for i in part], y[part], weight[part])
     names, likes = language_words(rows, docs, len(buckets) + 1)
     model = Model(buckets, net.tables(), net.p["b"], net.p["o"], float(net.p["c"][0]), names, likes, np.array([[1.0, 0.0, 0.5]] * (len(names) + 1)))
-    calibrate(model, [docs[i] for i in rest], y[rest])
+    calibrate(model, [docs[i] for i in rest], y[rest], labelled.weights(y[rest], counts))
     return model
 
 
@@ -230,27 +230,34 @@ def language_words(rows: list[tuple], docs: list[np.ndarray], n_rows: int) -> tu
     return names, like.astype(np.float32)
 
 
-def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray) -> None:
+def line(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve."""
+    c = logistic(z[:, None], y, weight, 1.0)
+    slope = c.weights[0] / c.spread[0]
+    return float(slope), float(c.weights[1] - slope * c.mean[0])
+
+
+def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
     rows = np.concatenate(docs)
     first = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     best = [pooled(rows, first, t, b) for t, b in zip(model.tables, np.split(model.bias, len(model.tables)), strict=True)]
     z = np.concatenate(best, axis=1) @ model.out + model.base
     curve = lambda s, i, x: 1 / (1 + np.exp(-np.clip(s * x + i, -500, 500)))
-    slope, intercept = logistic(z, y, 1.0)
-    common = best_cut(curve(slope, intercept, z), y)
+    slope, intercept = line(z, y, weight)
+    common = best_cut(curve(slope, intercept, z), y, weight)
     model.curves[-1] = slope, intercept, common
     if model.languages:
         like = np.stack([model.words_by_language[d].sum(0) for d in docs])
         which = like.argmax(1)
     for k in range(len(model.languages)):
-        x, t = z[which == k], y[which == k]
+        x, t, w = z[which == k], y[which == k], weight[which == k]
         if len({*t}) < 2:
             model.curves[k] = model.curves[-1]
             continue
         share = len(t) / (len(t) + HALF)
-        s, i = logistic(x, t, 1.0)
+        s, i = line(x, t, w)
         s, i = share * s + (1 - share) * slope, share * i + (1 - share) * intercept
-        model.curves[k] = s, i, share * best_cut(curve(s, i, x), t) + (1 - share) * common
+        model.curves[k] = s, i, share * best_cut(curve(s, i, x), t, w) + (1 - share) * common
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", **bounds) -> DataFrame:
@@ -258,7 +265,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     small_batches(spark)
     # about 10 MB: its rows are bounded by ROWS
-    shared = spark.sparkContext.broadcast(fit(labelled.sample(docs, labels, label_col, id_col, text_col, extra=(lang_col,), **bounds)))
+    rows = labelled.sample(docs, labels, label_col, id_col, text_col, extra=(lang_col,), **bounds)
+    shared = spark.sparkContext.broadcast(fit(rows, labelled.counts(labels, label_col, id_col)))
     own = docs.drop("score", "predicted")
     names = own.columns
 
