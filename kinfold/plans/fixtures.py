@@ -54,8 +54,9 @@ def probes(spark: SparkSession) -> DataFrame:
 
 
 def normed(spark: SparkSession, sf_dir: str, with_probes: bool = False) -> DataFrame:
+    """Normalised records; cached, for a query reads them for either side and for several views."""
     base = records(spark, sf_dir)
-    return normalize(base.unionByName(probes(spark)) if with_probes else base)
+    return normalize(base.unionByName(probes(spark)) if with_probes else base).cache()
 
 
 def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,7 @@ _CARRIED = ("name_core", "name_key", "addr_norm", "nums", "legal")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs that share a rare word, with prob = the mean Jaccard similarity of names and addresses, and both sides' columns."""
+    """Candidate pairs that share a rare word, with prob = the mean Jaccard similarity of names and addresses, and both sides' columns; cached."""
     s1, pool = sides(normed(spark, sf_dir))
     text = F.concat_ws(" ", "name_core", "addr_norm")
     posting = pool.select("country", "src", "rec_id", F.explode(words(text)).alias("word"))
@@ -82,7 +83,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
     prob = F.round(0.5 * jaccard("name_core") + 0.5 * jaccard("addr_norm"), 6)
-    return pair.select("country", "src", "s1_id", "rec_id", prob.alias("prob"), *(f"s1_{c}" for c in _CARRIED), *(f"rec_{c}" for c in _CARRIED))
+    return pair.select("country", "src", "s1_id", "rec_id", prob.alias("prob"), *(f"s1_{c}" for c in _CARRIED), *(f"rec_{c}" for c in _CARRIED)).cache()
 
 
 def truth(pairs: DataFrame) -> DataFrame:
