@@ -32,9 +32,9 @@ def collected(vocab: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
 class Splitter:
     """The cheapest split of a glued token into known words, by dynamic programming over its ends."""
 
-    def __init__(self, vocab: Mapping[str, int], least_glued: int = LEAST_GLUED, least_part: int = LEAST_PART, most_parts: int = MOST_PARTS, gain: float = LENGTH_GAIN):
+    def __init__(self, vocab: Mapping[str, int], least_glued: int = LEAST_GLUED, least_part: int = LEAST_PART, most_parts: int = MOST_PARTS, gain: float = LENGTH_GAIN, word_cost: float = 0.0):
         total = sum(vocab.values()) or 1
-        self.cost = {w: math.log(total / n) - gain * len(w) for w, n in vocab.items()}
+        self.cost = {w: math.log(total / n) - gain * len(w) + word_cost for w, n in vocab.items()}
         self.longest = max(map(len, vocab), default=0)
         self.least_glued, self.least_part, self.most_parts = least_glued, least_part, most_parts
 
@@ -75,3 +75,14 @@ def segmented(name: Column, splitter: Splitter) -> Column:
 def segment_key(segmented_name: Column) -> Column:
     """Sorted distinct words of a segmented name."""
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(segmented_name, " "), lambda w: w != ""))), " ")
+
+
+def handle_splitter(vocab: Mapping[str, int]) -> Splitter:
+    """The older variant: shorter glued tokens, and a price for every word instead of a gain for its letters."""
+    return Splitter(vocab, least_glued=8, most_parts=8, gain=0.0, word_cost=3.0)
+
+
+def segmented_handles(raw: Column, name: Column, splitter: Splitter) -> Column:
+    """``name`` split only where the raw name looks like a domain, a handle or a web address."""
+    handle = F.coalesce(raw, F.lit("")).rlike(r"(?i)(\.(com|net|org|in|fr|io)\b|@|www\.)")
+    return F.when(handle, segmented(name, splitter)).otherwise(name)

@@ -161,18 +161,18 @@ def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "s1
     blocks is one matrix product that returns at most k rows a query; a final
     window merges them. No side is broadcast, whatever its size.
     """
-    block = block or []
+    if not block:
+        one = F.lit(0).alias("__all")
+        return dense_top_k(queries.select("*", one), pool.select("*", one), k, query_id, doc_id, ["__all"], vector, block_rows).drop("__all")
 
     def blocks(df: DataFrame, own_id: str) -> DataFrame:
         sizes = df.groupBy(*block).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("__m"))
-        df = df.join(sizes, block) if block else df.crossJoin(F.broadcast(sizes))  # one row: the number of blocks
-        return df.select(*block, F.col(own_id).alias("id"), F.col(vector).alias("v"), "__m", F.pmod(F.xxhash64(own_id), F.col("__m")).cast("int").alias("__b"))
+        return df.join(sizes, block).select(*block, F.col(own_id).alias("id"), F.col(vector).alias("v"), "__m", F.pmod(F.xxhash64(own_id), F.col("__m")).cast("int").alias("__b"))
 
     q, d = blocks(queries, query_id), blocks(pool, doc_id)
     many_q, many_d = (x.groupBy(*block).agg(F.max("__m").alias(n)) for x, n in ((q, "__mq"), (d, "__md")))
-    attach = (lambda x, y: x.join(y, block)) if block else (lambda x, y: x.crossJoin(F.broadcast(y)))  # one row a block
-    q = attach(q, many_d).withColumn("__d", F.explode(F.sequence(F.lit(0), F.col("__md") - 1))).withColumn("__q", F.col("__b"))
-    d = attach(d, many_q).withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__mq") - 1))).withColumn("__d", F.col("__b"))
+    q = q.join(many_d, block).withColumn("__d", F.explode(F.sequence(F.lit(0), F.col("__md") - 1))).withColumn("__q", F.col("__b"))
+    d = d.join(many_q, block).withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__mq") - 1))).withColumn("__d", F.col("__b"))
     q, d = (x.select(*block, "__q", "__d", "id", "v") for x in (q, d))
     kinds = {f.name: f.dataType.simpleString() for f in queries.select(*block, query_id).schema.fields} | {doc_id: pool.schema[doc_id].dataType.simpleString()}
     schema = ", ".join(f"{n} {kinds[n]}" for n in [*block, query_id, doc_id]) + ", score double"

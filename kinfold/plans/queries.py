@@ -283,7 +283,32 @@ def token_set_features(spark, sf):
     return x.scored(spark, sf).select(*_PAIR, *(c.alias(n) for n, c in cols.items()))
 
 
-_NUM_ROWS = "SELECT s_suppkey AS id, s_name || ' ' || CAST(s_suppkey AS VARCHAR) || ' ' || CAST(s_suppkey * 37 AS VARCHAR) AS a, CAST(s_suppkey % 10 + 10 AS VARCHAR) || ' ' || CAST(s_suppkey AS VARCHAR) AS b FROM supplier"
+_A, _B = words_sql("s1_name_core"), words_sql("rec_name_core")
+_BOTH = f"len(list_intersect({_A}, {_B}))"
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT {_IDS}, (len({_A}) > 0 AND {_BOTH} = len({_A}) AND len({_A}) < len({_B}))::BIGINT AS core_sub, (len({_B}) > 0 AND {_BOTH} = len({_B}) AND len({_B}) < len({_A}))::BIGINT AS core_sup,
+  {_BOTH}::BIGINT AS core_common, len({_A})::BIGINT AS ntok_a, len({_B})::BIGINT AS ntok_b FROM scored"""
+)
+def subset_flags(spark, sf):
+    cols = sim.subset_flags(sim.words(F.col("s1_name_core")), sim.words(F.col("rec_name_core")))
+    return x.scored(spark, sf).select(*_PAIR, *(c.alias(n) for n, c in cols.items()))
+
+
+@query(_tfidf_sql(_ADDR_12, 1_000_000, 50, "SELECT p.country, p.src, p.s1_id, p.rec_id, coalesce(sc.score, 0.0) AS cos FROM (SELECT a.country, b.src, a.s1_id, b.rec_id FROM s1 a JOIN pool b ON a.country = b.country AND b.doc_id = a.doc_id + 4) p LEFT JOIN sc USING (country, src, s1_id, rec_id)"))
+def sparse_pair_cosine(spark, sf):
+    """The sparse cosine of given pairs, whether a view retrieved them or not."""
+    s1, pool = x.sides(x.normed(spark, sf))
+    pairs = s1.select("country", "s1_id", (F.col("doc_id") + 4).alias("doc_id")).join(pool.select("country", "src", "rec_id", "doc_id"), ["country", "doc_id"])
+    terms, block = blocking.word_terms(F.col("addr_norm"), 2), ["country", "src"]
+    counts = blocking.term_counts(pool, terms, [*block, "rec_id"])
+    kept, postings = blocking.index(counts, pool.groupBy(*block).agg(F.count("*").alias("n")), block, ["rec_id"], 50)
+    asked = blocking.term_counts(s1, terms, ["country", "s1_id"]).join(kept, ["country", "term"])
+    asked = asked.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norm = asked.groupBy(*block, "s1_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    queries = asked.join(norm, [*block, "s1_id"]).select(*block, "s1_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return blocking.sparse_cosine(pairs, queries, postings, block).select(*_PAIR, "cos")
 
 
 def _number_rows(spark, sf):

@@ -103,3 +103,10 @@ def test_stream(spark, sf, tmp_path):
     query.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() > 0 and out.groupBy("rec_id").count().where("count > 1").count() == 0
+
+
+def test_mean_pool(spark):
+    from kinfold.operators.dense import mean_pool
+
+    df = spark.createDataFrame([([[3.0, 0.0, 9.0], [0.0, 4.0, 9.0], [5.0, 5.0, 5.0]], [1, 1, 0])], "v array<array<double>>, m array<int>")
+    assert df.select(mean_pool(F.col("v"), F.col("m"), 2)).first()[0] == pytest.approx([0.6, 0.8])
