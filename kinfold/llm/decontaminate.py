@@ -189,20 +189,28 @@ def _scan(strings: pa.Array, blocks: list) -> Iterator[tuple]:
             yield int(w.first[d + 1] - w.first[d]), int(n_hit[d]), len(found), sha, bool(n_hit[d]), int(most[d]), found, spans
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int) -> list:
+    """A broadcast of each block of test items; a block's size is bounded by ``block_bytes`` and one item."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    return [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, item_col, text_col, block_bytes, window)]
+
+
+def _blocks(shared: list):
+    """A single block stays in memory; of several, each is loaded from the worker's local copy in turn."""
+    return [shared[0].value] if len(shared) == 1 else _Loaded(shared)
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """For each document, the words inside a verbatim copy of ``window`` consecutive words of a benchmark item, the items, the longest match and where the hits lie."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, item_col, item_text_col, block_bytes, window)]
+    shared = _shared(docs, benchmark, item_col, item_text_col, block_bytes, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # with one block it stays in memory; of several, each is loaded from the local copy in turn
-            blocks = [shared[0].value] if len(shared) == 1 else _Loaded(shared)
-            rows = list(_scan(W.as_strings(batch.column("text")), blocks))
+            rows = list(_scan(W.as_strings(batch.column("text")), _blocks(shared)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], names=_NAMES)
 
@@ -227,7 +235,13 @@ class _Loaded:
             b.__dict__.pop("_value", None)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without a hit, every column kept. A row stays if no row of its id has a hit; rows without an id stay."""
-    hit = decontaminate(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col].cast("long") == hit["__hit"], "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a hit, every column kept; rows leave where they are scanned, so nothing is shuffled."""
+    shared = _shared(docs, benchmark, item_col, item_text_col, block_bytes, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [not row[4] for row in _scan(W.as_strings(batch.column(text_col)), _blocks(shared))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
