@@ -176,16 +176,27 @@ def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(np.clip((p[order][k] + low) / 2, 0.02, 0.98))
 
 
+def sample_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, and the number of each text's; slice by slice, as hashing needs many times a slice's bytes."""
+    hashes, sizes = [], []
+    for _, rows in W.slices(W.as_strings(pa.array(texts, pa.large_string()))):
+        w = W.split(rows, W.ALNUM)
+        hashes.append(w.hash)
+        sizes.append(np.diff(w.first))
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
 def fit(rows: list[tuple], counts: dict[int, int] | None = None) -> Model | None:
     """A model of (label, text, lang) rows; None without both classes. ``counts``: labelled documents of each class beyond the sample."""
     if len({r[0] for r in rows}) < 2:
         return None
     rows = [r for v in (1, 0) for r in [x for x in rows if x[0] == v]]
     y = np.array([r[0] for r in rows], float)
-    w = W.split(W.as_strings(pa.array([r[1] for r in rows], pa.large_string())), W.ALNUM)
-    bucket = (w.hash >> W.U64(64 - BUCKET_BITS)).astype(np.int64)
+    hashes, size = sample_words([r[1] for r in rows])
+    first = np.concatenate(([0], np.cumsum(size)))
+    bucket = (hashes >> W.U64(64 - BUCKET_BITS)).astype(np.int64)
     n = len(rows)
-    pairs = np.unique(bucket * n + w.doc()) if len(bucket) else np.zeros(0, np.int64)
+    pairs = np.unique(bucket * n + np.repeat(np.arange(n), size)) if len(bucket) else np.zeros(0, np.int64)
     values, start, count = np.unique(pairs // n, return_index=True, return_counts=True)
     toxic = np.add.reduceat(y[pairs % n], start) if len(start) else start
     often = count >= (2 if n >= 100 else 1)
@@ -194,8 +205,8 @@ def fit(rows: list[tuple], counts: dict[int, int] | None = None) -> Model | None
     buckets = values[order]
     odds = np.log((toxic[order] + 0.5) / (y.sum() + 1)) - np.log((count[order] - toxic[order] + 0.5) / (n - y.sum() + 1))
     odds = np.concatenate(([0.0], np.clip(odds, -3, 3) * np.minimum(count[order], 8) / 8 / 3)).astype(np.float32)
-    r = rows_of(buckets, w.hash)
-    docs = [r[a:b] if b > a else np.zeros(1, np.int64) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    r = rows_of(buckets, hashes)
+    docs = [r[a:b] if b > a else np.zeros(1, np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
     mine = np.zeros(n, bool)
     for v in (0, 1):
         same = np.flatnonzero(y == v)
