@@ -13,7 +13,7 @@ The labelled sample is bounded (``labelled.PER_CLASS``, ``CLASS_BYTES``);
 every text is scored whole. Nothing is shuffled but the sample.
 
 Defined results: a null or empty text has difference 0 and the score of the
-point 0, 0, 0, 1; without labels of both classes every score is 0.5.
+point 0, 0, 0, 0.5; without labels of both classes every score is 0.5.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from kinfold.llm.common import small_batches
 BLOCK = 1024
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
+#: Bytes at which a text's own sizes weigh half.
+HALF_SURE = 200
 #: Of five sampled documents, this many build dictionaries; the others fit the curve.
 BUILD = 3
 ACCEPT = 0.7
@@ -72,15 +74,16 @@ class Scorer:
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
 
     def features(self, raw: memoryview | bytes) -> tuple[float, float, float, float]:
-        """(bad - good) / bytes, (bad - good) / (bad + good), the least of the latter over blocks, and min(bad, good) / bytes."""
+        """(bad - good) / bytes, (bad - good) / (bad + good), the least of the latter over blocks, and min(bad, good) / bytes; a short text's are drawn towards 0, 0, 0 and 0.5."""
         good = bad = 0
         worst = 1.0
         for b in blocks(raw):
             g, h = len(self.with_good.compress(b)), len(self.with_bad.compress(b))
             good, bad, worst = good + g, bad + h, min(worst, (h - g) / (h + g))
         if not good:
-            return 0.0, 0.0, 0.0, 1.0
-        return (bad - good) / len(raw), (bad - good) / (bad + good), worst, min(bad, good) / len(raw)
+            return 0.0, 0.0, 0.0, 0.5
+        sure = len(raw) / (len(raw) + HALF_SURE)
+        return sure * (bad - good) / len(raw), sure * (bad - good) / (bad + good), sure * worst, sure * min(bad, good) / len(raw) + (1 - sure) / 2
 
 
 @dataclass
