@@ -26,6 +26,7 @@ a source; rows that share a doc_id are packed separately.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,8 @@ class Encoder:
     """Ids of texts under a byte-level BPE vocabulary.
 
     Texts are cut before white space that follows other characters, where a
-    token always begins; equal stretches are encoded once and remembered.
+    token always begins; equal stretches are encoded once and remembered. The
+    vocabulary's added tokens are one id each wherever their content stands.
     """
 
     def __init__(self, path: str):
@@ -73,7 +75,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        special = {t["content"] for t in added}
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(re.search(r"\s", c) for c in special):
+            raise ValueError(f"{path}: added tokens that hold or take in white space, or depend on what stands around")
         # the printable stand-ins of bytes: printable Latin-1 characters themselves, the others from 256 on
         plain = [b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD)]
         stand_in = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -81,7 +86,10 @@ class Encoder:
         merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
         if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or spec["normalizer"] or model.get("dropout"):
             raise ValueError(f"{path}: ids don't follow the order of merges")
-        self.size = max(ranks.values()) + 1
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        # the longest of those that begin at one place, as the tokenizer takes them
+        self.added_at = re.compile(b"|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) or b"(?!)")
+        self.size = max([*ranks.values(), *self.added.values()]) + 1
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.token_bytes = np.zeros(self.size, np.int64)
         for t, i in ranks.items():
@@ -109,7 +117,7 @@ class Encoder:
         joint, alone = [], []
         for s in stretches:
             text = s.decode("utf-8")
-            (joint if s[0] <= 0x20 and _WHITE[s[0]] and not text[-1].isspace() else alone).append((s, text))
+            (joint if s[0] <= 0x20 and _WHITE[s[0]] and not text[-1].isspace() and not self.added_at.search(s) else alone).append((s, text))
         for s, _ in joint:
             self.number[s] = len(self.number)
         if joint:
@@ -117,11 +125,19 @@ class Encoder:
             ends = np.cumsum(self.token_bytes[ids])
             upto = np.searchsorted(ends, np.cumsum([len(s) for s, _ in joint])) + 1
             self._append(ids, np.diff(np.concatenate(([0], upto))))
-        for s, text in alone:
+        for s, _ in alone:
             self.number[s] = len(self.number)
-            ids = np.array(self.bpe.encode_ordinary(text), np.int64)
+            ids = np.array(self._alone(s), np.int64)
             self._append(ids, np.array([len(ids)]))
 
+    def _alone(self, stretch: bytes) -> list[int]:
+        """Ids of one stretch; what stands on either side of an added token is encoded by itself."""
+        ids, upto = [], 0
+        for m in self.added_at.finditer(stretch):
+            ids += [*self.bpe.encode_ordinary(stretch[upto : m.start()].decode("utf-8")), self.added[m[0]]]
+            upto = m.end()
+        return ids + self.bpe.encode_ordinary(stretch[upto:].decode("utf-8"))
+
     def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's offsets in them."""
         data, at = W.bytes_of(strings)
