@@ -16,8 +16,11 @@ another, and nothing is sorted or dealt by source.
    neighbours are one piece.
 
 Quanta fill windows exactly; what each queue holds beyond whole quanta follows
-at the end, so only the last sequence is padded. Sources beyond the largest
-255 share one queue.
+at the end, so only the last sequence is padded. More than 256 sources are
+taken in nodes of 255, by falling size, and nodes of nodes: a node deals its
+members (and the stream of what they hold beyond whole quanta) by the same
+closed form, and is a queue with the sum of their targets in the level above.
+The driver and the tasks hold a few numbers a source.
 
 Defined results: a null or empty text is the end token alone; a null source is
 a source; rows that share a doc_id are packed separately.
@@ -224,6 +227,68 @@ def places(queue: np.ndarray, quantum: np.ndarray, weight: np.ndarray, whole: np
     return out
 
 
+def places_in(node: np.ndarray, queue: np.ndarray, quantum: np.ndarray, weight: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """``places`` of quanta of several nodes, one row of ``weight`` and ``whole`` a node."""
+    out = np.zeros(len(queue), np.int64)
+    for lo in range(0, len(queue), 4096):
+        n, q, j = (v[lo : lo + 4096, None] for v in (node, queue, quantum))
+        w, most, every = weight[n[:, 0]], whole[n[:, 0]], np.arange(weight.shape[1])
+        m = ((2 * j + 1) * w - (every >= q)) // np.take_along_axis(w, q, 1)
+        out[lo : lo + 4096] = np.where(every == q, j, np.minimum((m + 1) // 2, most)).sum(1)
+    return out
+
+
+class Level:
+    """Queues in nodes of at most ``width``, each node a queue of the next level.
+
+    A node's last column is the stream of what its members hold beyond whole
+    quanta; its first quantum begins with the first member's.
+    """
+
+    def __init__(self, total: np.ndarray, share: np.ndarray, width: int, quantum: int):
+        self.width, nodes = width, -(-len(total) // width)
+        n, p = (np.append(v, np.zeros(nodes * width - len(v), v.dtype)).reshape(nodes, width) for v in (total, share))
+        rest = n % quantum
+        self.rest_at = np.cumsum(rest, 1) - rest
+        self.whole = np.column_stack((n, rest.sum(1))) // quantum
+        part = p * rest / np.maximum(n, 1)
+        self.weight = np.stack([weights_of(n, v) for n, v in zip(self.whole, np.column_stack((p - part, part.sum(1))), strict=True)])
+        self.total, self.share = n.sum(1), p.sum(1)
+
+    def rise(self, pieces: tuple, quantum: int) -> tuple:
+        """Pieces (document, from, to, queue, place in the queue) with their node and their place in it."""
+        doc, a, b, queue, at = pieces
+        node, column = queue // self.width, queue % self.width
+        beyond = at - self.whole[node, column] * quantum
+        rest = beyond >= 0
+        at, column = np.where(rest, self.rest_at[node, column] + beyond, at), np.where(rest, self.width, column)
+        doc, a, b, at, node, column = parted((doc, a, b, at, node, column), quantum)  # a rest may lie across two quanta
+        number = at // quantum
+        full = number < self.whole[node, column]
+        place = self.whole[node].sum(1) * quantum + at - self.whole[node, column] * quantum
+        place[full] = places_in(node[full], column[full], number[full], self.weight, self.whole) * quantum + (at % quantum)[full]
+        return doc, a, b, node, place
+
+
+def parted(pieces: tuple, size: int) -> tuple:
+    """Pieces (document, from, to, place, ...) of at most ``size`` tokens, cut where a multiple of ``size`` lies inside."""
+    doc, a, b, place, *more = pieces
+    over = np.minimum(b - a, size - place % size)
+    split = np.flatnonzero(over < b - a)
+    ends = np.where(over < b - a, a + over, b)
+    again = lambda v: np.concatenate((v, v[split]))
+    return again(doc), np.concatenate((a, (a + over)[split])), np.concatenate((ends, b[split])), np.concatenate((place, (place + over)[split])), *map(again, more)
+
+
+def levels_of(total: np.ndarray, share: np.ndarray, queues: int, quantum: int) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """The levels below the last, and the totals and shares of the last one's at most ``queues`` queues."""
+    levels = []
+    while len(total) > queues:
+        levels.append(Level(total, share, max(2, queues - 1), quantum))
+        total, share = levels[-1].total, levels[-1].share
+    return levels, total, share
+
+
 def weights_of(totals: np.ndarray, target: list[float] | None = None) -> np.ndarray:
     """Whole-number weights in proportion to ``target``, or to the queues' tokens."""
     share = np.asarray(target if target is not None else totals, float)
@@ -246,49 +311,42 @@ def pack(
     tokens = materialize(tokenize(docs, id_col, text_col, source_col, vocabulary or default_vocabulary(), end), "tokens")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "token-sums")
-    named = [r[0] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(queues).collect()]
-    shared = len(named) == queues
-    if shared:
-        named = named[:-1]
-    number = F.lit(len(named))
-    if named:
-        number = F.coalesce(F.array_position(F.array(*map(F.lit, named)), F.col("source")).cast("int"), F.lit(0))
-        number = F.when(number == 0, F.lit(len(named))).otherwise(number - 1)
-    sums = sums.withColumn("queue", number)
-    total = np.zeros(len(named) + 1, np.int64)
-    for q, n in sums.groupBy("queue").agg(F.sum("n")).collect():
-        total[q] = n
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    target = None
+    ranked = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").collect()
+    total = np.array([r["n"] for r in ranked], np.int64)
+    share = total / max(1, total.sum())
     if mixture is not None:
-        own = total / max(1, total.sum())
-        target = [mixture.get(s[1:], own[i]) for i, s in enumerate(named)] + [own[-1]]
-    weight, whole = weights_of(total, target), total // quantum
+        share = np.array([mixture.get(r["source"][1:], own) for r, own in zip(ranked, share, strict=True)], float)
+    number = spark.createDataFrame([(r["source"], i) for i, r in enumerate(ranked)], "source string, queue long")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")).join(number, "source")
+    starts = materialize(starts, "token-starts")  # of known size, so that a small one is broadcast
+    levels, total, share = levels_of(total, share, max(2, queues), quantum)
+    weight, whole = weights_of(total, share if mixture is not None else None), total // quantum
     rest = np.cumsum(total - whole * quantum) - (total - whole * quantum) + whole.sum() * quantum
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _pieces(batch, weight, whole, rest, quantum, length)
+                yield _pieces(batch, levels, weight, whole, rest, quantum, length)
 
     placed = tokens.join(starts, ["source", "part"]).select("doc_id", "source", "queue", (F.col("begin") + F.col("at")).alias("at"), "n", "width", "ids")
     return placed.mapInArrow(cut, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def _pieces(batch: pa.RecordBatch, weight: np.ndarray, whole: np.ndarray, rest: np.ndarray, quantum: int, length: int) -> pa.RecordBatch:
+def _pieces(batch: pa.RecordBatch, levels: list[Level], weight: np.ndarray, whole: np.ndarray, rest: np.ndarray, quantum: int, length: int) -> pa.RecordBatch:
     queue, at, n, width = (batch.column(c).to_numpy().astype(np.int64) for c in ("queue", "at", "n", "width"))
     count = (at + n - 1) // quantum - at // quantum + 1
     doc = np.repeat(np.arange(len(n)), count)
     number = W.ranges(at // quantum, count)
     a, b = np.maximum(at[doc], number * quantum), np.minimum((at + n)[doc], (number + 1) * quantum)
-    q = queue[doc]
+    q, at_q = queue[doc], a
+    for level in levels:
+        doc, a, b, q, at_q = level.rise((doc, a, b, q, at_q), quantum)
+    number = at_q // quantum
     full = number < whole[q]
-    place = np.where(full, 0, rest[q] + a - whole[q] * quantum)
-    place[full] = places(q[full], number[full], weight, whole) * quantum + (a - number * quantum)[full]
-    over = np.minimum(b - a, length - place % length)  # a rest may lie across two sequences
-    split = np.flatnonzero(over < b - a)
-    doc, a, b, place = (np.concatenate((x, y)) for x, y in ((doc, doc[split]), (a, (a + over)[split]), (np.where(over < b - a, a + over, b), b[split]), (place, (place + over)[split])))
+    place = np.where(full, 0, rest[q] + at_q - whole[q] * quantum)
+    place[full] = places(q[full], number[full], weight, whole) * quantum + (at_q % quantum)[full]
+    doc, a, b, place = parted((doc, a, b, place), length)  # a rest may lie across two sequences
     order = np.lexsort((a, doc))
     doc, a, b, place = doc[order], a[order], b[order], place[order]
     new = np.ones(len(doc), bool)

@@ -160,5 +160,37 @@ def test_packing_keeps_the_mixture(spark):
     assert len(wide) > 10 and all(abs(r["s"] - share) <= 2 * 256 / 2048 for r in wide[:-1])
 
 
+def test_packing_keeps_the_mixture_of_many_sources(spark):
+    rows = [(i, " ".join(sentence(i, 300)), f"s{i % 12:02}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for mixture in (None, {f"s{i:02}": 3.0 if i == 11 else 1.0 for i in range(12)}):
+        pieces = packing.pack(docs, queues=4, mixture=mixture).collect()
+        check_packing_rows(pieces)
+        total = sum(r["length"] for r in pieces)
+        for s in range(12):
+            ends = sorted((r["sequence_id"] * 2048 + r["offset"], r["length"]) for r in pieces if r["source"] == f"=s{s:02}")
+            for at in range(0, total // 4, 2048):  # no source is used up before
+                served = sum(min(n, max(0, at - p)) for p, n in ends)
+                want = at * (mixture[f"s{s:02}"] / sum(mixture.values()) if mixture else sum(n for _, n in ends) / total)
+                assert abs(served - want) <= 4 * 256, (mixture, s, at, served, want)
+
+
+def check_packing_rows(rows):
+    """Every place is taken once, and every document's tokens are there once."""
+    upto = 0
+    for at, n in sorted((r["sequence_id"] * 2048 + r["offset"], r["length"]) for r in rows):
+        assert at == upto
+        upto += n
+    by = {}
+    for r in rows:
+        by.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+    for (_, total), parts in by.items():
+        upto = 0
+        for start, n in sorted(parts):
+            assert start == upto
+            upto += n
+        assert upto == total
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
