@@ -11,7 +11,11 @@ so no control string can stand there and removing one restores the text; in
 roles, backslash and newline are written ``\\\\`` and ``\\n`` first.
 
 Defined results: a null text or role is empty; turns are ordered by turn (null
-first), then role and text; rows without conv_id are one conversation.
+first), then role and text; repeated rows are turns each; rows without conv_id
+are one conversation; no rows give no conversations; only the four named
+columns are read, so names of others can't clash. A conversation is one value,
+so one task holds all of its turns, and it may have 2 GB at most, the bound of
+a string; a longer one is an error that names it.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import wordhash as W
-from kinfold.llm.common import small_batches
 
+#: Bytes of formatted conversations in an Arrow batch, at most (a single one may be longer), and in a conversation.
+BATCH_BYTES, MOST_BYTES = 64 << 20, (1 << 31) - 1
 HEAD, BREAK, TAIL = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 LEARNED = "assistant"
 
@@ -102,17 +107,23 @@ def _edges(table: pa.Table) -> np.ndarray:
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned: str = LEARNED) -> DataFrame:
     """By conversation: conv_id, n_turns, formatted, and loss_spans (start and length in UTF-8 bytes of every text of the role ``learned``)."""
-    small_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in _whole(batches):
             roles, texts = W.as_strings(table.column("role")), W.as_strings(table.column("text"))
             made, to, length = assemble(roles, texts, first)
             mask = pc.equal(roles, learned).to_numpy(zero_copy_only=False)
-            upto = np.concatenate(([0], np.cumsum(mask)))[first].astype(np.int32)
-            spans = pa.StructArray.from_arrays([pa.array(to[mask]), pa.array(length[mask])], names=["start", "length"])
+            upto = np.concatenate(([0], np.cumsum(mask)))[first]
+            starts, lengths = to[mask], length[mask]
             ids = table.column("conv_id").combine_chunks().take(pa.array(first[:-1]))
-            yield pa.record_batch([ids, pa.array(np.diff(first)), made.cast(pa.string()), pa.ListArray.from_arrays(pa.array(upto), spans).cast(_SPANS)], names=["conv_id", "n_turns", "formatted", "loss_spans"])
+            for lo, part in W.slices(made, BATCH_BYTES):
+                hi = lo + len(part)
+                if len(part) == 1 and pc.binary_length(part)[0].as_py() > MOST_BYTES:
+                    raise ValueError(f"conversation {ids[lo].as_py()} has more than {MOST_BYTES} bytes")
+                own = slice(upto[lo], upto[hi])
+                spans = pa.StructArray.from_arrays([pa.array(starts[own]), pa.array(lengths[own])], names=["start", "length"])
+                spans = pa.ListArray.from_arrays(pa.array((upto[lo : hi + 1] - upto[lo]).astype(np.int32)), spans).cast(_SPANS)
+                yield pa.record_batch([ids.slice(lo, len(part)), pa.array(np.diff(first)[lo:hi]), part.cast(pa.string()), spans], names=["conv_id", "n_turns", "formatted", "loss_spans"])
 
     own = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

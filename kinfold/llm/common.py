@@ -1,4 +1,4 @@
-"""What the corpus operators share: intermediate tables, batch sizes, session settings."""
+"""What the corpus operators share: intermediate tables, names, partitions."""
 
 from __future__ import annotations
 
@@ -8,19 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch carries to a Python worker; texts make rows large.
-BATCH_ROWS = 1024
+#: Bytes of texts that an Arrow batch carries to a Python worker; a single text may be longer.
+BATCH_BYTES = 16 << 20
+#: Shuffle partitions for dealt groups, at most; beyond, a partition holds several groups, one after another.
+MOST_PARTITIONS = 1 << 15
+
+_temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
+    """This application's folder under spark.checkpoint.dir, which driver and executors share; a temporary one in local mode where that isn't set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kinfold"
+        if app not in _temporary:
+            _temporary[app] = "file://" + tempfile.mkdtemp(prefix="kinfold-")
+        base = _temporary[app]
+    return f"{base.rstrip('/')}/kinfold/{app}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables, shards and blocks that this application has written; results that weren't written elsewhere can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,26 +43,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch: at the default of 10,000, long documents would fill a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def partitions(spark: SparkSession, groups: int) -> int:
+    """Partitions to deal ``groups`` groups to: about one each, so that a task's share doesn't grow with the input."""
+    return int(max(parallelism(spark), min(groups, MOST_PARTITIONS)))
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """(rows, bytes of text), by one aggregation."""
-    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
     return rows, size or 0
 
 
-def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns that an operator needs, under fixed names; other columns can't clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def free_name(taken, name: str, prefix: str) -> str:
+    """``name``, or with ``prefix`` and underscores before it where a column is called so already (whatever the case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"{prefix}_{name}"
+    return name
+
+
+def free_names(taken, names, prefix: str) -> list[str]:
+    """Names of an operator's own columns beside a caller's, which stay as they are."""
+    return [free_name(taken, n, prefix) for n in names]
 
 
 def held_out(id_col: str, mod: int, rest: int):

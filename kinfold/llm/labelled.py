@@ -10,8 +10,8 @@ from kinfold.llm.common import held_out
 
 #: A label is learned only from ids whose crc32 modulo 4 isn't this.
 MOD, REST = 4, 2
-#: Documents of a class, and bytes of their texts, at most.
-PER_CLASS, CLASS_BYTES = 2000, 12 << 20
+#: Documents of a class, bytes of their texts together (and one text more), and bytes of a text that is fetched, at most.
+PER_CLASS, CLASS_BYTES, TEXT_BYTES = 2000, 12 << 20, 1 << 20
 SEED = 11
 
 
@@ -41,24 +41,26 @@ def weights(y: np.ndarray, counts: dict[int, int] | None) -> np.ndarray:
     return np.where(y == 1, share[1], share[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, extra: tuple[str, ...] = ()) -> list[tuple]:
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, text_bytes: int = TEXT_BYTES, extra: tuple[str, ...] = ()) -> list[tuple]:
     """(label, text, *extra) of at most ``per_class`` whole documents of each class outside the held-out fold.
 
     A class's documents are those that come first in a fixed pseudo-random
     order of ids, up to ``class_bytes`` of text. An id with several labels
-    counts with the smallest; null labels and texts don't count.
+    counts with the smallest; null labels and texts and texts of more than
+    ``text_bytes`` don't count.
     """
     one = _labels(labels, label_col, id_col)
     few = None
     for value in (0, 1):
         part = one.where(F.col("__label") == value).orderBy(dealt("__id"), "__id").limit(per_class)
         few = part if few is None else few.unionByName(part)
-    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *extra).where(F.col("__text").isNotNull())
+    names = [f"__extra{i}" for i in range(len(extra))]
+    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(n) for c, n in zip(extra, names, strict=True))).where(F.octet_length("__text") <= text_bytes)
     # at most 2 * per_class ids: the size of what is broadcast is known
-    rows = text.join(F.broadcast(few), "__id").orderBy(dealt("__id"), "__id", "__text").select("__label", "__text", *extra)
+    rows = text.join(F.broadcast(few), "__id").orderBy(dealt("__id"), "__id", "__text").select("__label", "__text", *names)
     out, size = [], {0: 0, 1: 0}
     for row in rows.toLocalIterator():
         if size[row[0]] < class_bytes:
-            size[row[0]] += len(row[1])
+            size[row[0]] += len(row[1].encode())
             out.append(tuple(row))
     return out

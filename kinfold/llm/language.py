@@ -5,13 +5,16 @@ letters, words bounded by a blank) by rank. A document's own list is compared
 with each: an n-gram counts the difference of its ranks, or the length of a
 list where the profile lacks it. The least out-of-place distance wins.
 
-Profiles come from a bounded sample of labelled documents; each document's
-list comes from its whole text. All n-grams of a slice of documents are
-counted by one sort of 64-bit keys.
-
-Defined results: a null text and one without letters are ``und`` with score
-0; ties go to the first language by name; without labelled texts every
-document is ``und``.
+Profiles come from a bounded sample of each language's labelled documents,
+made where these are; only the lists of n-grams come to the driver. Each
+document's list comes from its whole text. All n-grams of a slice of documents
+are counted by one sort of 64-bit keys.
+
+Defined results: a null or empty text and one without letters are ``und`` with
+score 0; texts of any length are read whole; ties go to the first language by
+name; equal texts, repeated rows too, have equal results; without labelled
+texts every document is ``und``; an empty table gives none; no column but id,
+text and (to learn) language is read, so names of others can't clash.
 """
 
 from __future__ import annotations
@@ -23,15 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinfold.llm import wordhash as W
-from kinfold.llm.common import held_out, small_batches
+from kinfold.llm.common import held_out, materialize
 
 MOD, REST = 3, 1
 TOP = 300
 LONGEST = 3
-#: Languages, documents of a language (about) and bytes of their texts, at most.
-LANGUAGES, PER_LANGUAGE, LANGUAGE_BYTES = 256, 400, 2 << 20
+#: Documents of a language that its profile is made of, bytes of their texts together (and one text more), and bytes of a text that is taken, at most.
+PER_LANGUAGE, LANGUAGE_BYTES, TEXT_BYTES = 400, 2 << 20, 1 << 20
 UNKNOWN = "und"
 
 
@@ -148,27 +152,37 @@ class Profiles:
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(score, 0, 1), 0.0)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES) -> Profiles:
-    """Profiles of the languages of documents outside the held-out fold, from about ``per_language`` whole texts of each."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id", MOD, REST))
-    count = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    lot = F.pmod(F.xxhash64("id", F.lit(MOD)), F.lit(1 << 30))
-    few = own.join(F.broadcast(count), "lang").where(lot < F.lit(float(1 << 30)) * per_language / F.col("count"))
-    texts: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for lang, text in few.select("lang", "text").orderBy(F.xxhash64("id"), "text").toLocalIterator():
-        if size.get(lang, 0) < language_bytes:
-            size[lang] = size.get(lang, 0) + len(text)
-            texts.setdefault(lang, []).append(text)
-    return Profiles({lang: p for lang, t in texts.items() if (p := profile(t))})
+def learn(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES, text_bytes: int = TEXT_BYTES,
+) -> Profiles:
+    """Profiles of every language of documents outside the held-out fold, from ``per_language`` whole texts of each, the first in a fixed pseudo-random order of distinct rows."""
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    own = own.where(F.col("lang").isNotNull() & (F.octet_length("text") <= text_bytes) & ~held_out("id", MOD, REST)).withColumn("lot", F.xxhash64("id", "text"))
+    order = Window.partitionBy("lang").orderBy("lot")  # Spark keeps the first of each task before it shuffles
+    last = own.select("lang", "lot").distinct().select("lang", "lot", F.row_number().over(order).alias("k")).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("lot").alias("last"))
+    few = own.join(materialize(last, "language-lots"), "lang").where(F.col("lot") <= F.col("last")).select("lang", "lot", "text").dropDuplicates(["lang", "lot"])
+
+    def make(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("lot", "ascending"), ("text", "ascending")])
+        texts, size = [], 0
+        for t in table.column("text").to_pylist()[:per_language]:
+            if size < language_bytes:
+                texts.append(t)
+                size += len(t.encode())
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "grams": pa.array([profile(texts)], pa.list_(pa.string()))})
+
+    made = few.groupBy("lang").applyInArrow(make, "lang string, grams array<string>").where(F.size("grams") > 0)
+    return Profiles({r["lang"]: list(r["grams"]) for r in made.toLocalIterator()})
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
-    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # TOP n-grams a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = shared.value
         for batch in batches:
             names, scores = [], []
             for _, rows in W.slices(W.as_strings(batch.column("text"))):

@@ -10,8 +10,14 @@ attempt left are not in the index. Metadata come from range reads of the first
 No text is shuffled and no task waits for another: a digest that occurs in
 several tasks is stored by each, and ``catalogue`` names one place for it.
 
+Rows are read back in parts of about ``PART_BYTES`` of stored bytes, those that
+lie next to each other together.
+
 Defined results: a null text is empty; a payload is never empty (an empty text
-is 576 bytes 255); equal texts have equal values.
+is 576 bytes 255); equal texts, repeated rows too, have equal values, whatever
+their ids; a text of any length is one payload, encoded and read in one piece;
+an empty table gives an empty index; other columns of the documents are not
+read, and columns of an index that bear a name of a result are refused.
 """
 
 from __future__ import annotations
@@ -30,15 +36,18 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.llm import wordhash as W
-from kinfold.llm.common import materialize, shared_dir, small_batches
+from kinfold.llm.common import materialize, parallelism, partitions, shared_dir
 
 LINE = 576
 FILL = 255
 SHARD_BYTES = 256 << 20
 LEVEL = 3
 HEADER_BYTES = 33
+#: Stored bytes that a task reads back, about.
+PART_BYTES = 64 << 20
 #: Fixed values of the format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -125,7 +134,6 @@ class _Shards:
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the payloads; the index: doc_id, n_bytes, digest (sha256 of the payload), shard, offset, length."""
     spark = docs.sparkSession
-    small_batches(spark)
     uri = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +182,14 @@ class _Reader:
         return self.file.read_at(length, offset)
 
 
-def _each(index: DataFrame, one, names: list[str], schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """``one(bytes)`` of each row's stored form, once for neighbours that share a place."""
-    carried = [f.name for f in index.schema.fields]
+def _each(index: DataFrame, one, fields: list[tuple[str, T.DataType, pa.DataType]], touched) -> DataFrame:
+    """``one(bytes)`` of each row's stored form, once for neighbours that share a place. ``touched``: bytes that a row reads."""
+    spark, names = index.sparkSession, [n for n, _, _ in fields]
+    if clash := sorted({c.lower() for c in index.columns} & set(names)):
+        raise ValueError(f"the index has columns called like results: {', '.join(clash)}")
+    size = index.agg(F.sum(touched)).first()[0] or 0
+    near = F.floor(F.col("offset") / PART_BYTES)
+    index = index.repartition(partitions(spark, max(parallelism(spark), 4 * size // PART_BYTES)), "shard", near).sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, recent = _Reader(), OrderedDict()
@@ -189,10 +202,13 @@ def _each(index: DataFrame, one, names: list[str], schema: str, kinds: list[pa.D
                         recent.popitem(last=False)
                 rows.append(recent[place])
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.record_batch([*(batch.column(c) for c in carried), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*carried, *names])
+            yield pa.record_batch([*batch.columns, *(pa.array(c, k) for c, (_, _, k) in zip(columns, fields, strict=True))], names=[*batch.schema.names, *names])
+
+    return index.mapInArrow(run, T.StructType([*index.schema.fields, *(T.StructField(n, k) for n, k, _ in fields)]))
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema.fields)
-    return index.mapInArrow(run, f"{fields}, {schema}")
+def _longs(*names: str) -> list[tuple[str, T.DataType, pa.DataType]]:
+    return [(n, T.LongType(), pa.int64()) for n in names]
 
 
 def metadata(index: DataFrame) -> DataFrame:
@@ -202,7 +218,7 @@ def metadata(index: DataFrame) -> DataFrame:
         h = header(reader.read(uri, path, offset, min(length, HEADER_BYTES)))
         return h["width"], h["height"], h["depth"]
 
-    return _each(index, one, ["width", "height", "depth"], "width long, height long, depth long", [pa.int64()] * 3)
+    return _each(index, one, _longs("width", "height", "depth"), F.lit(HEADER_BYTES))
 
 
 def read_back(index: DataFrame) -> DataFrame:
@@ -213,6 +229,6 @@ def read_back(index: DataFrame) -> DataFrame:
         payload = decode(stored)
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload)
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return _each(index, one, names, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", kinds)
+    texts = {n: (n, T.StringType(), pa.string()) for n in ("payload_sha256", "media_sha256", "feature")}
+    (size, tail, media) = _longs("payload_bytes", "tail_crc32", "media_bytes")
+    return _each(index, one, [size, texts["payload_sha256"], tail, media, texts["media_sha256"], texts["feature"]], F.col("length"))

@@ -22,8 +22,11 @@ members (and the stream of what they hold beyond whole quanta) by the same
 closed form, and is a queue with the sum of their targets in the level above.
 The driver and the tasks hold a few numbers a source.
 
-Defined results: a null or empty text is the end token alone; a null source is
-a source; rows that share a doc_id are packed separately.
+Defined results: a null or empty text is the end token alone; a text of any
+length is encoded whole and cut over as many sequences as it takes; a null
+source is a source; rows that share a doc_id, repeated rows too, are packed
+each for itself; no documents give no pieces; only id, text and source are
+read, so names of other columns can't clash.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinfold.llm import wordhash as W
-from kinfold.llm.common import materialize, small_batches
+from kinfold.llm.common import materialize
 
 SEQUENCE = 2048
 QUANTUM = 256
@@ -49,7 +52,7 @@ QUEUES = 256
 #: Weights are whole numbers of about this sum.
 WEIGHT_SUM = 1 << 20
 #: Distinct stretches of text whose ids a worker remembers before it starts anew.
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 #: How byte-level BPE vocabularies of this kind split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -307,7 +310,6 @@ def pack(
     if length % quantum:
         raise ValueError("a sequence holds whole quanta")
     spark = docs.sparkSession
-    small_batches(spark)
     tokens = materialize(tokenize(docs, id_col, text_col, source_col, vocabulary or default_vocabulary(), end), "tokens")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "token-sums")

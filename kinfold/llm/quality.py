@@ -3,17 +3,20 @@
 Two zstandard dictionaries are built from documents labelled good and bad.
 A text is cut into blocks and each block is compressed with either. How much
 smaller the good dictionary makes it, normalised by the text's bytes, says
-whose vocabulary and form the text shares. Beside this difference stand its
-share of the compressed sizes, its worst block, and the smaller size itself
-(copies of one word shrink under any dictionary). A logistic curve fitted on
-labelled documents that built neither dictionary turns the four into a score;
-its classes weigh as they do among all labels.
+whose vocabulary and form the text shares: the difference. A logistic curve
+fitted on labelled documents that built neither dictionary makes it a score.
+The curve's second variable is the smaller of the two sizes, as a text that
+shrinks under any dictionary (copies of one word) has a small difference
+whatever it says. Classes weigh as they do among all labels.
 
-The labelled sample is bounded (``labelled.PER_CLASS``, ``CLASS_BYTES``);
-every text is scored whole. Nothing is shuffled but the sample.
+The labelled sample is bounded (``labelled.PER_CLASS``, ``CLASS_BYTES``,
+``TEXT_BYTES``); every text is scored whole, whatever its length. Nothing is
+shuffled but the sample.
 
 Defined results: a null or empty text has difference 0 and the score of the
-point 0, 0, 0, 0.5; without labels of both classes every score is 0.5.
+point 0, 0.5; without labels of both classes every score is 0.5; equal texts,
+repeated rows too, have equal scores, whatever their ids; an empty table gives
+none; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.llm import labelled
 from kinfold.llm import wordhash as W
-from kinfold.llm.common import small_batches
+from kinfold.llm.common import free_names
 
 BLOCK = 1024
+FEATURES = 2
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
 #: Bytes at which a text's own sizes weigh half.
@@ -73,17 +77,15 @@ class Scorer:
         known.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
 
-    def features(self, raw: memoryview | bytes) -> tuple[float, float, float, float]:
-        """(bad - good) / bytes, (bad - good) / (bad + good), the least of the latter over blocks, and min(bad, good) / bytes; a short text's are drawn towards 0, 0, 0 and 0.5."""
+    def features(self, raw: memoryview | bytes) -> tuple[float, float]:
+        """(bad - good) / bytes and min(bad, good) / bytes; a short text's are drawn towards 0 and 0.5."""
         good = bad = 0
-        worst = 1.0
         for b in blocks(raw):
-            g, h = len(self.with_good.compress(b)), len(self.with_bad.compress(b))
-            good, bad, worst = good + g, bad + h, min(worst, (h - g) / (h + g))
+            good, bad = good + len(self.with_good.compress(b)), bad + len(self.with_bad.compress(b))
         if not good:
-            return 0.0, 0.0, 0.0, 0.5
+            return 0.0, 0.5
         sure = len(raw) / (len(raw) + HALF_SURE)
-        return sure * (bad - good) / len(raw), sure * (bad - good) / (bad + good), sure * worst, sure * min(bad, good) / len(raw) + (1 - sure) / 2
+        return sure * (bad - good) / len(raw), sure * min(bad, good) / len(raw) + (1 - sure) / 2
 
 
 @dataclass
@@ -133,31 +135,42 @@ def fit(rows: list[tuple], counts: dict[int, int] | None = None) -> Model | None
     return model
 
 
+def _scored(model: Model | None, texts: pa.Array, scorer: Scorer | None) -> tuple[np.ndarray, np.ndarray]:
+    """Difference and score of each text."""
+    data, at = W.bytes_of(texts)
+    if not scorer:
+        return np.zeros(len(at) - 1), np.full(len(at) - 1, 0.5)
+    view = memoryview(data)
+    x = np.array([scorer.features(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], float).reshape(-1, FEATURES)
+    return x[:, 0], model.curve(x)
+
+
+def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, **bounds) -> Model | None:
+    return fit(labelled.sample(docs, labels, label_col, id_col, text_col, **bounds), labelled.counts(labels, label_col, id_col))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **bounds) -> DataFrame:
-    """``docs`` with difference, score and predicted (1 if score >= 0.7); columns of these names are replaced."""
-    small_batches(docs.sparkSession)
-    model = fit(labelled.sample(docs, labels, label_col, id_col, text_col, **bounds), labelled.counts(labels, label_col, id_col))
-    own = docs.drop("difference", "score", "predicted")
-    names = own.columns
+    """``docs`` with difference, score and predicted (1 if score >= 0.7) after its columns; where a name is taken, the new column is called ``quality_score`` and so on."""
+    model = _learned(docs, labels, id_col, text_col, label_col, **bounds)
+    names = [*docs.columns, *free_names(docs.columns, ["difference", "score", "predicted"], "quality")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model) if model else None
+        for batch in batches:
+            d, score = _scored(model, W.as_strings(batch.column(text_col)), scorer)
+            yield pa.record_batch([*batch.columns, pa.array(d), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=names)
+
+    kinds = (T.DoubleType(), T.DoubleType(), T.IntegerType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names[-3:], kinds, strict=True))]))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **bounds) -> DataFrame:
+    """The rows that aren't rejected, every column as it is; rows leave where they are scored."""
+    model = _learned(docs, labels, id_col, text_col, label_col, **bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
         for batch in batches:
-            data, at = W.bytes_of(W.as_strings(batch.column(text_col)))
-            view = memoryview(data)
-            if scorer:
-                x = np.array([scorer.features(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], float).reshape(-1, 4)
-                d, score = x[:, 0], model.curve(x)
-            else:
-                d, score = np.zeros(len(at) - 1), np.full(len(at) - 1, 0.5)
-            yield pa.record_batch([*batch.columns, pa.array(d), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[*names, "difference", "score", "predicted"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(run, f"{fields}, difference double, score double, predicted int")
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that aren't rejected, with their own columns."""
-    scored = score_quality(docs, labels, id_col, text_col, **options)
-    kept = scored.where(F.col("predicted") == 1)
-    return kept.select(*docs.columns)
+            yield batch.filter(pa.array(_scored(model, W.as_strings(batch.column(text_col)), scorer)[1] >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,10 +12,7 @@ from kinfold.llm.common import held_out
 from kinfold.llm.decontaminate import decontaminate
 from kinfold.llm.ngram_join import jaccard_components
 from kinfold.llm.substring_dedup import dedup_substrings
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from kinfold.sources.tables import table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

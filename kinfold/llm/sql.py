@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinfold.llm.decontaminate import WINDOW as TEST_WINDOW
-from kinfold.llm.license_scan import TEMPLATES
+from kinfold.llm.license_scan import DRIFT, HALF, TEMPLATES
 from kinfold.llm.ngram_join import PERCENT, SHINGLE
 from kinfold.llm.substring_dedup import WINDOW
 
@@ -45,19 +45,25 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 
 
 def _op7() -> str:
-    reach = max(len(t.words) for t in TEMPLATES)
-    at = lambda j: "word" if j == 0 else f"{'lead' if j > 0 else 'lag'}(word, {abs(j)}) OVER o"
-    places = {j: f"x{j + reach}" for j in range(-reach, reach + 1)}
-    parts = []
-    for t in TEMPLATES:
-        key = " AND ".join(f"{places[j]} = '{w}'" for j, w in enumerate(t.phrase))
-        share = " + ".join(f"coalesce(({places[j - t.at]} = '{w}')::INT, 0)" for j, w in enumerate(t.words))
-        parts.append(f"SELECT r, i - 1 AS place, '{t.label}' AS label, {t.base} AS base, ({share}) / {len(t.words)}.0::DOUBLE AS share FROM x WHERE {key} AND ({share}) / {len(t.words)}.0::DOUBLE >= {t.least}")
-    return f"""WITH {_words(_LOWER.format("text"), _ALNUM)}, x AS (SELECT r, i, {", ".join(f"{at(j)} AS {n}" for j, n in places.items())} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
-m AS ({" UNION ALL ".join(parts)}),
+    keys, texts, kinds = [], [], []
+    for k, t in enumerate(TEMPLATES):
+        head = t.phrases[0][0]
+        kinds.append(f"({k}, '{t.label}', {t.base}, {t.least}::DOUBLE, {len(t.words)}, {len(t.phrases)}, {head})")
+        texts += [f"({k}, {j}, '{w}')" for j, w in enumerate(t.words)]
+        for n, (place, phrase) in enumerate(t.phrases):
+            stands = " AND ".join(f"x{j} = '{w}'" for j, w in enumerate(phrase))
+            keys.append(f"SELECT r, {k} AS t, {n} AS k, i - 1 AS place, i - 1 - {place - head} AS due FROM x WHERE {stands}")
+    reach = max(len(p) for t in TEMPLATES for _, p in t.phrases)
+    ahead = ", ".join(["word AS x0", *(f"lead(word, {j}) OVER o AS x{j}" for j in range(1, reach))])
+    return f"""WITH {_words(_LOWER.format("text"), _ALNUM)}, x AS (SELECT r, i, {ahead} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+kinds AS (SELECT * FROM (VALUES {", ".join(kinds)}) v(t, label, base, least, n, keys, head)), texts AS (SELECT * FROM (VALUES {", ".join(texts)}) v(t, j, word)),
+ph AS ({" UNION ALL ".join(keys)}),
+h AS (SELECT a.r, a.t, a.place FROM ph a JOIN kinds USING (t) LEFT JOIN ph b ON b.r = a.r AND b.t = a.t AND b.k > 0 AND abs(b.due - a.place) <= {DRIFT} WHERE a.k = 0 GROUP BY a.r, a.t, a.place, keys HAVING count(DISTINCT b.k) = keys - 1),
+c AS (SELECT h.r, h.t, h.place, count(DISTINCT texts.j) AS c FROM h JOIN kinds USING (t) JOIN texts USING (t) JOIN w ON w.r = h.r AND w.word = texts.word AND abs(w.i - 1 - (h.place + texts.j - kinds.head)) <= {DRIFT} GROUP BY ALL),
+m AS (SELECT r, place, label, base, c / n::DOUBLE AS share, n FROM c JOIN kinds USING (t) WHERE c / n::DOUBLE >= least),
 g AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
-  string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m GROUP BY r)
-SELECT d.doc_id, d.n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN g USING (r)"""
+  string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share * n / (n + {HALF}::DOUBLE)) AS score FROM m GROUP BY r)
+SELECT d.doc_id, d.n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score FROM d LEFT JOIN g USING (r)"""
 
 
 _OP9 = f"""WITH {_words(_LOWER.format("text"), _ALNUM)},

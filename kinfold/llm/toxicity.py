@@ -9,28 +9,33 @@ bounded sample of labelled documents.
 The score is calibrated by language: part of the sample gives each language a
 logistic curve (drawn towards the common one where it has few rows) and the
 threshold of its best F1, which is moved to 0.3. The language is guessed from
-the same words; the lang column only teaches that guess.
+the same words; the lang column only teaches that guess. A language with fewer
+than ``LEAST`` sampled documents keeps the common curve.
 
 At prediction the products of embeddings and filters are tables, so a
 convolution is a few gathers and sums for each word. Whole texts are scored,
 slice by slice; nothing is shuffled but the sample.
 
-Defined results: null and wordless texts have the responses of no words;
-without labels of both classes every score is 0.
+Defined results: null, empty and wordless texts have the responses of no
+words; texts of any length are scored whole; without labels of both classes
+every score is 0; equal texts, repeated rows too, have equal scores, whatever
+their ids; an empty table gives none; columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from kinfold.llm import labelled
 from kinfold.llm import wordhash as W
-from kinfold.llm.common import small_batches
+from kinfold.llm.common import free_names
 from kinfold.llm.quality import logistic
 
 BUCKET_BITS = 24
@@ -41,8 +46,10 @@ EPOCHS, MINIBATCH, RATE, DECAY = 6, 64, 5e-3, 1e-4
 #: Of ten sampled documents, this many train; the others calibrate.
 TRAIN = 7
 ACCEPT = 0.3
-#: Rows at which a language's own curve weighs as much as the common one.
-HALF = 200
+#: Rows at which a language's own curve weighs as much as the common one, and rows that it needs for one.
+HALF, LEAST = 200, 8
+#: Languages whose likelihoods are summed at a time.
+SIDE = 32
 
 
 @dataclass
@@ -59,15 +66,22 @@ class Model:
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         return rows_of(self.buckets, hashes)
 
+    def likelihoods(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Documents by languages."""
+        out = np.zeros((len(first) - 1, len(self.languages)))
+        some = np.flatnonzero(np.diff(first))
+        for k in range(0, len(self.languages) if len(some) else 0, SIDE):
+            out[some, k : k + SIDE] = np.add.reduceat(self.words_by_language[rows, k : k + SIDE], first[some], axis=0, dtype=np.float64)
+        return out
+
     def score(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores of documents whose words are rows[first[d]:first[d + 1]]."""
         n = len(first) - 1
         best = [pooled(rows, first, t, b) for t, b in zip(self.tables, np.split(self.bias, len(self.tables)), strict=True)]
         z = np.concatenate(best, axis=1) @ self.out + self.base
         which = np.full(n, len(self.languages))
-        if self.languages:
-            like = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(self.words_by_language[rows], axis=0)))
-            like = like[first[1:]] - like[first[:-1]]
+        if self.languages and n:
+            like = self.likelihoods(rows, first)
             which = np.where(like.any(axis=1), like.argmax(axis=1), which)
         slope, intercept, cut = self.curves[which].T
         return moved(1 / (1 + np.exp(-np.clip(slope * z + intercept, -500, 500))), cut)
@@ -229,11 +243,12 @@ def fit(rows: list[tuple], counts: dict[int, int] | None = None) -> Model | None
 
 def language_words(rows: list[tuple], docs: list[np.ndarray], n_rows: int) -> tuple[list[str], np.ndarray]:
     """Languages of the sample and each word's log likelihood under them, less the mean; unknown words say nothing."""
-    names = sorted({r[2] for r in rows if r[2] is not None})[:64]
-    count = np.full((n_rows, len(names)), 0.1)
+    names = sorted(n for n, k in Counter(r[2] for r in rows).items() if n is not None and k >= LEAST)
+    number = {n: i for i, n in enumerate(names)}
+    count = np.full((n_rows, len(names)), 0.1, np.float32)
     for row, d in zip(rows, docs, strict=True):
-        if row[2] in names:
-            np.add.at(count[:, names.index(row[2])], d, 1)
+        if row[2] in number:
+            np.add.at(count[:, number[row[2]]], d, 1)
     count[0] = 1
     like = np.log(count / count.sum(0)) if names else count
     like = like - like.mean(1, keepdims=True) if names else like
@@ -258,8 +273,7 @@ def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.nd
     common = best_cut(curve(slope, intercept, z), y, weight)
     model.curves[-1] = slope, intercept, common
     if model.languages:
-        like = np.stack([model.words_by_language[d].sum(0) for d in docs])
-        which = like.argmax(1)
+        which = model.likelihoods(rows, first).argmax(1)
     for k in range(len(model.languages)):
         x, t, w = z[which == k], y[which == k], weight[which == k]
         if len({*t}) < 2:
@@ -272,14 +286,11 @@ def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.nd
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", **bounds) -> DataFrame:
-    """``docs`` with score and predicted (1 if score >= 0.3); columns of these names are replaced."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    # about 10 MB: its rows are bounded by ROWS
+    """``docs`` with score and predicted (1 if score >= 0.3) after its columns; where a name is taken, the new column is called ``toxicity_score`` or ``toxicity_predicted``."""
+    # at most ROWS rows of filter responses, and of likelihoods for at most 2 * PER_CLASS / LEAST languages
     rows = labelled.sample(docs, labels, label_col, id_col, text_col, extra=(lang_col,), **bounds)
-    shared = spark.sparkContext.broadcast(fit(rows, labelled.counts(labels, label_col, id_col)))
-    own = docs.drop("score", "predicted")
-    names = own.columns
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labelled.counts(labels, label_col, id_col)))
+    names = [*docs.columns, *free_names(docs.columns, ["score", "predicted"], "toxicity")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -289,7 +300,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 w = W.split(rows, W.ALNUM)
                 parts.append(model.score(model.rows(w.hash), w.first) if model else np.zeros(len(rows)))
             score = np.concatenate(parts).astype(float) if parts else np.zeros(0)
-            yield pa.record_batch([*batch.columns, pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.record_batch([*batch.columns, pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[-2], T.DoubleType()), T.StructField(names[-1], T.IntegerType())]))

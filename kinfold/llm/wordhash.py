@@ -1,13 +1,17 @@
 """Vectorised word splitting and Rabin-Karp hashing over Arrow string columns.
 
 Every function works on one slice of documents whose bytes lie one after
-another in a buffer. Word and window hashes come from prefix sums of
-``value * BASE**i`` modulo 2**64, so one pass over the bytes serves every
-word and one pass over the words serves every window, whatever its length.
+another in a buffer. A word's hash takes its bytes eight at a time through a
+mixing function (equal lengths up to eight bytes: no two words share one);
+words of more than ``LONG`` bytes take BLAKE2. Window hashes come from prefix
+sums of ``hash * BASE**i`` modulo 2**64, so one pass over the words serves
+every window, whatever its length. The polynomial is over well-mixed values
+and meant for windows of some dozens of words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
-_BYTE_VALUES = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Bytes from which a word is hashed apart from the others.
+LONG = 256
+_SEED, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 #: Bytes of words that stand between white space.
 SPACED = np.ones(256, bool)
@@ -56,7 +62,31 @@ class _Powers:
         return self.up, self.down
 
 
-_bytes_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_word_powers = _Powers(_WORD_BASE)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of windows, and of its inverse, at least up to n."""
+    return _word_powers.upto(n)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word."""
+    n = len(data)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    h = mix(length.astype(U64) * _STEP + _SEED)
+    live = np.flatnonzero(length <= LONG)
+    k = 0
+    while len(live):
+        left = length[live] - k
+        h[live] = mix(h[live] ^ (eight[start[live] + k] & _MASKS[np.minimum(left, 8)]))
+        live = live[left > 8]
+        k += 8
+    for i in np.flatnonzero(length > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 @dataclass
@@ -123,12 +153,7 @@ def split(strings: pa.Array, table: np.ndarray = SPACED, lower: bool = True) ->
     after[-1], after[:-1] = False, inside[1:]
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = _bytes_powers.upto(n)
-    sums = np.empty(n + 1, U64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUES[data] * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
-    return Words(data, start, end, np.searchsorted(start, at), h)
+    return Words(data, start, end, np.searchsorted(start, at), word_hashes(data, start, end))
 
 
 def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,8 +32,13 @@ def messy(spark):
         (None, " ".join(passage), "c", "en"), (12, "é Ünï x 　 " + "日本語 " * 40, "d", "de"), (13, " ".join(sentence(5, 6000)), "d", "en"),
         (14, "x" * 20000, "d", None), (15, " ".join([*sentence(1, 30), *passage]), "a", "en"),
     ]
-    clash = [(*r, 1, "k", 0.5, "b") for r in rows]
-    return spark.createDataFrame(clash, "doc_id long, text string, source string, lang string, n_words int, bucket string, score double, batch string")
+    clash = [(*r, len(r[1] or ""), f"w{k}", f"b{k}", 77.0 + k, -k, f"r{k}", k * 10, f"i{k}", k % 2 == 0, f"p{k}") for k, r in enumerate(rows)]
+    return spark.createDataFrame(clash, CLASH)
+
+
+#: Columns that operators use for themselves too; ``mark`` tells rows apart.
+CLASH = "doc_id long, text string, source string, lang string, n_chars int, n_words string, bucket string, score double, predicted int, removed string, __range int, __id string, once boolean, part string"
+CLASHING = ("n_words", "bucket", "score", "predicted", "removed", "__range", "__id", "once", "part")
 
 
 def rows_of(df, *columns):

@@ -64,10 +64,7 @@ def test_media_round_trip(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    tokenizers = pytest.importorskip("tokenizers")
-    t = tokenizers.Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return pytest.importorskip("tokenizers").Tokenizer.from_file(packing.default_vocabulary())
 
 
 ODD = st.text(alphabet=st.sampled_from("ab'sLl 1\n\t  　é日\x85\x1c.!"), max_size=40)
@@ -81,26 +78,21 @@ def test_ids_equal_the_tokenizer(tokenizer, texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
-@pytest.fixture(scope="module")
-def unmodified():
-    return pytest.importorskip("tokenizers").Tokenizer.from_file(packing.default_vocabulary())
-
-
 WITH_ADDED = st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<|", " ", "  ", "\n", "foo", " bar", "'s", "é", "\x85", "\u3000", "1"]), max_size=12).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(WITH_ADDED, min_size=1, max_size=5))
-def test_ids_of_added_tokens_equal_the_unmodified_tokenizer(unmodified, texts):
+def test_ids_of_added_tokens_equal_the_tokenizer(tokenizer, texts):
     texts = ["foo <|endoftext|> bar", *texts]
     ids, at = packing.encoder(packing.default_vocabulary()).encode(pa.array(texts, pa.large_string()))
-    want = [e.ids for e in unmodified.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
-def test_packing_keeps_added_tokens(spark, unmodified):
+def test_packing_keeps_added_tokens(spark, tokenizer):
     texts = ["foo <|endoftext|> bar", "<|endoftext|><|endoftext|>x", "a\n\n<|endoftext|>  b", "plain"]
-    ids = {i: np.array([*unmodified.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
     assert 50256 in ids[0]
     check_packing(packing.pack(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")), ids)
 
