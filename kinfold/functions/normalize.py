@@ -32,11 +32,12 @@ _ACCENTED, _BASE = _latin()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Latin accents; null is empty."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _BASE)
-    for ligature, letters in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d")):
+    """Lower case without Latin accents; null is empty. Texts in ASCII, which are most, are only lower-cased."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.translate(low, _ACCENTED, _BASE)
+    for ligature, letters in t.LIGATURES:
         plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    return plain
+    return F.when(low.rlike(r"[^\x00-\x7F]"), plain).otherwise(low)
 
 
 @F.pandas_udf(T.StringType())
@@ -45,7 +46,7 @@ def fold_any(text: pd.Series) -> pd.Series:
 
     def letter(c: str) -> str:
         if ord(c) < 0x250:
-            return {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d"}.get(c, c)
+            return dict(t.LIGATURES).get(c, c)
         name = unicodedata.name(c, "")
         for head in (" LETTER SMALL ", " SMALL LETTER ", " LETTER ", " SYLLABLE ", " VOWEL SIGN "):
             if head in name:
@@ -53,7 +54,9 @@ def fold_any(text: pd.Series) -> pd.Series:
         return str(unicodedata.digit(c)) if c.isdigit() else " " if c.isspace() or not c.isalnum() else ""
 
     def one(s: str) -> str:
-        s = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", s or "").lower())
+        if s.isascii():
+            return s.lower()
+        s = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", s).lower())
         return "".join(letter(c) for c in s if unicodedata.category(c) != "Mn")
 
     return text.fillna("").map(one)
@@ -184,10 +187,13 @@ def pair_text(name: Column, address: Column, query: bool = False) -> Column:
 def normalize(df: DataFrame, name_col: str = "business_name", address_col: str = "business_address", aliases: Mapping[str, str] | None = None, any_script: bool = False) -> DataFrame:
     """``df`` with name_lat, name_core, name_key, name_skel, legal, native, addr_norm, nums, addr_missing.
 
-    Two projections, so that each array is computed once.
+    Several projections, so that each array is computed once. With
+    ``any_script`` names and addresses of all scripts are romanised, by one
+    Arrow round trip; else those beyond Latin stay as they are.
     """
     own = fold_any if any_script else fold
-    df = df.withColumns({"__n": name_tokens(own(F.col(name_col))), "__a": address_tokens(own(F.col(address_col)), aliases)})
+    df = df.withColumns({"__fn": own(F.col(name_col)), "__fa": own(F.col(address_col))})
+    df = df.withColumns({"__n": name_tokens(F.col("__fn")), "__a": address_tokens(F.col("__fa"), aliases)})
     df = df.withColumn("__c", core_tokens(F.col("__n"))).withColumn("__k", key_tokens(F.col("__c")))
     joined = lambda c: F.array_join(c, " ")
     df = df.withColumns(
@@ -197,4 +203,4 @@ def normalize(df: DataFrame, name_col: str = "business_name", address_col: str =
             "addr_norm": joined("__a"), "nums": joined(numbers(F.col("__a"))), "addr_missing": (F.size("__a") == 0).cast("int"),
         }
     )
-    return df.drop("__n", "__a", "__c", "__k")
+    return df.drop("__fn", "__fa", "__n", "__a", "__c", "__k")

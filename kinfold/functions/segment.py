@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 LEAST_WORD, LEAST_GLUED, LEAST_PART, MOST_PARTS = 3, 10, 3, 4
 #: Gain of a letter against the cost of a rarer word.
 LENGTH_GAIN = 0.9
-#: Words of a vocabulary that is sent to the executors, at most; the most frequent stay.
+#: A parameter of ``collected``: words of the vocabulary that is sent to the executors; the most frequent ones.
 VOCABULARY = 500_000
 
 
@@ -39,20 +39,33 @@ class Splitter:
         self.least_glued, self.least_part, self.most_parts = least_glued, least_part, most_parts
 
     def parts(self, token: str) -> list[str] | None:
-        """At least two words, or None where the token stays whole."""
+        """At least two words, or None where the token stays whole.
+
+        Words are laid from the left: ``best[k][at]`` is the cheapest way to
+        reach the place ``at`` in k words, and where the last of them began.
+        """
         if len(token) < self.least_glued or token in self.cost:
             return None
-        ways: list[tuple[float, list[str]] | None] = [(0.0, [])] + [None] * len(token)
-        for end in range(self.least_part, len(token) + 1):
-            for start in range(max(0, end - self.longest), end - self.least_part + 1):
-                word, way = token[start:end], ways[start]
-                if way is None or len(way[1]) == self.most_parts or word not in self.cost:
-                    continue
-                cost = way[0] + self.cost[word]
-                if ways[end] is None or cost < ways[end][0]:
-                    ways[end] = (cost, [*way[1], word])
-        found = ways[-1]
-        return found[1] if found and len(found[1]) > 1 else None
+        best: list[dict[int, tuple[float, int]]] = [{0: (0.0, 0)}]
+        for _ in range(self.most_parts):
+            reached: dict[int, tuple[float, int]] = {}
+            for at, (spent, _) in best[-1].items():
+                for word in (token[at:end] for end in range(at + self.least_part, min(len(token), at + self.longest) + 1)):
+                    price = self.cost.get(word)
+                    if price is not None:
+                        end = at + len(word)
+                        reached[end] = min(reached.get(end, (math.inf, 0)), (spent + price, at))
+            best.append(reached)
+        ways = [(layer[len(token)][0], k) for k, layer in enumerate(best) if k > 1 and len(token) in layer]
+        whole = best[1].get(len(token))
+        if not ways or (whole and whole[0] <= min(ways)[0]):
+            return None
+        words, end = [], len(token)
+        for layer in best[min(ways)[1] : 0 : -1]:
+            begin = layer[end][1]
+            words.append(token[begin:end])
+            end = begin
+        return words[::-1]
 
     def text(self, text: str) -> str:
         out = []

@@ -109,7 +109,7 @@ SCORERS: dict[str, Callable[[str, str], float]] = {
 #: Pair features: name, column of both records, scorer.
 PAIR_SCORES = (
     ("name_ratio", "name_lat", "ratio"), ("name_tset", "name_lat", "token_set"), ("name_tsort", "name_lat", "token_sort"), ("name_part", "name_lat", "partial"),
-    ("core_tset", "name_core", "token_set"), ("core_ratio", "name_core", "ratio"), ("skel_tset", "name_skel", "token_set"), ("name_jw", "name_core", "jaro_winkler"),
+    ("core_tset", "name_core", "token_set"), ("core_ratio", "name_core", "ratio"), ("skel_tset", "name_skel", "token_set"), ("name_jw", "name_lat", "jaro_winkler"),
     ("addr_tset", "addr_norm", "token_set"), ("addr_tsort", "addr_norm", "token_sort"), ("addr_part", "addr_norm", "partial"),
 )
 

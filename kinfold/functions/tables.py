@@ -75,3 +75,6 @@ TLD = r"\.(com|net|org|in|fr|io|co\.in|co\.uk)\b"
 STORE_NUMBER = r"#\s*\d+"
 LEET_FROM, LEET_TO = "013457", "oleass"
 ALIAS_MARKER = r"(?i)\b(?:f/?k/?a|formerly|d/?b/?a|doing business as|trading as|t/a|a/?k/?a|also known as)\b"
+
+# Latin letters that have no decomposition.
+LIGATURES = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d"))

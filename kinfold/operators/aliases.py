@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEAST_COUNT, LEAST_SHARE = 50, 0.4
-#: Alias pairs that the last, greedy step looks at, at most; the most frequent ones.
+#: A parameter of ``greedy``: alias pairs that this last step looks at, on the driver; the most frequent ones.
 PAIRS = 100_000
 
 
@@ -40,6 +40,6 @@ def greedy(pairs: DataFrame, most: int = PAIRS) -> dict[str, str]:
 
 
 def first_match(truth: DataFrame) -> DataFrame:
-    """The smallest record id of each query."""
-    w = Window.partitionBy("s1_id").orderBy("rec_id")
+    """The record of each query that comes first in its list (``pos``), or the smallest id where no order is given."""
+    w = Window.partitionBy("s1_id").orderBy(*(["pos"] if "pos" in truth.columns else []), "rec_id")
     return truth.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

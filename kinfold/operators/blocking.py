@@ -1,11 +1,14 @@
-"""Blocking: candidate pairs from an inverted index, exact keys and dense vectors.
+"""Blocking: candidate pairs from an inverted index, exact keys, word sets and dense vectors.
 
-Queries and pool records are rows keyed by (country, src, id); every view is a
-value of a column, so one plan serves all countries, sources and views.
+Queries and pool records are rows keyed by (country, src, id). The sparse
+views of a run are one plan: the view is a column of one inverted index
+(``sparse_views``), and so are country and source.
 
 A term's posting list is bounded by the document-frequency cap before any
-join, and a key's bucket by the key cap; top-k keeps at most k rows per query
-and is pushed below the final window by Catalyst.
+join, and a key's bucket by the key cap. What is joined by a term comes from
+exchanges of its own on either side, so that Spark can split a term that very
+many queries share; keys are salted. Top-k keeps at most k rows per query and
+is pushed below the final window by Catalyst.
 """
 
 from __future__ import annotations
@@ -16,11 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinfold.functions.similarity import dot
+from kinfold.functions.similarity import dot, words
 
 RRF_K = 60
 MISSING_RANK = 1e6
 FLAG_GAIN = 0.01
+#: Share of words in common, as a fraction, from which two word sets are similar.
+SHARE = (2, 5)
+#: Parts that the queries of one key are dealt to.
+SALTS = 8
 
 
 def word_terms(text: Column, longest: int = 1) -> Column:
@@ -46,11 +53,15 @@ def char_terms(text: Column, shortest: int = 3, longest: int = 4) -> Column:
 
 
 def term_counts(df: DataFrame, terms: Column, keys: list[str]) -> DataFrame:
-    """keys, term, tf."""
-    return df.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """keys, term, tf; counted inside the row, without a shuffle."""
+    own = df.select(*keys, F.array_sort(terms).alias("__s")).withColumn("__t", F.array_distinct("__s"))
+    first = F.transform("__t", lambda x: F.array_position("__s", x))
+    own = own.select(*keys, "__t", first.alias("__at"), F.size("__s").alias("__n"))
+    tf = F.transform("__t", lambda x, i: F.struct(x.alias("term"), (F.coalesce(F.get("__at", i + 1), F.col("__n") + 1) - F.get("__at", i)).alias("tf")))
+    return own.select(*keys, F.explode(tf).alias("__e")).select(*keys, "__e.term", F.col("__e.tf").cast("long").alias("tf"))
 
 
-def index(counts: DataFrame, n_docs: DataFrame, block: list[str], doc: list[str], cap: int | Column, least: int = 1) -> tuple[DataFrame, DataFrame]:
+def index(counts: DataFrame, n_docs: DataFrame, block: list[str], doc: list[str], cap: int | Column, least: int | Column = 1) -> tuple[DataFrame, DataFrame]:
     """(terms, postings) of a pool.
 
     terms: block, term, df, idf for least <= df <= cap. postings: block, doc,
@@ -59,13 +70,14 @@ def index(counts: DataFrame, n_docs: DataFrame, block: list[str], doc: list[str]
     """
     df = counts.groupBy(*block, "term").agg(F.count("*").alias("df")).join(n_docs, block)
     terms = df.where((F.col("df") >= least) & (F.col("df") <= cap)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).drop("n")
-    return terms, weighted(counts, terms, block, doc)
+    return terms, weighted(counts, terms, [*block, "term"], [*block, *doc])
 
 
-def weighted(counts: DataFrame, terms: DataFrame, block: list[str], doc: list[str]) -> DataFrame:
-    raw = counts.join(terms, [*block, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(*block, *doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, [*block, *doc]).select(*block, *doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
+def weighted(counts: DataFrame, terms: DataFrame, on: list[str], row: list[str]) -> DataFrame:
+    """row, term, weight: the terms of each row at length 1. A row's terms are one short array, so their norm takes no join."""
+    raw = counts.join(terms.drop("df"), on).select(*row, F.struct("term", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("e"))
+    rows = raw.groupBy(*row).agg(F.collect_list("e").alias("es"), F.sqrt(F.sum(F.col("e.w") * F.col("e.w"))).alias("norm"))
+    return rows.select(*row, "norm", F.explode("es").alias("e")).select(*row, "e.term", (F.col("e.w") / F.col("norm")).alias("weight"))
 
 
 def sparse_scores(queries: DataFrame, postings: DataFrame, block: list[str], query_id: str, doc_id: str) -> DataFrame:
@@ -81,22 +93,80 @@ def top_k(scores: DataFrame, by: list[str], k: int, tie: list[str], score: str =
     return scores.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def tfidf_top_k(s1: DataFrame, pool: DataFrame, terms: Column, k: int, cap: int | None = None, max_df_frac: float = 0.0015, least_cap: int = 50, least: int = 1) -> DataFrame:
-    """country, src, s1_id, rec_id, score, rank: one sparse view of every S1 row against each source of its country.
+def sparse_pairs(s1: DataFrame, pool: DataFrame, views: dict[str, Column], cap: int | None = None, max_df_frac: float = 0.0015, least_cap: int = 50, least: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, postings, scores) of all sparse views of every S1 row against each source of its country; view, country and src come first.
 
-    ``s1``: country, s1_id and what ``terms`` reads; ``pool``: country, src,
-    rec_id and the same. Without ``cap`` it is max(50, 0.0015 * pool size).
+    ``s1``: country, s1_id and what the terms of ``views`` read; ``pool``:
+    country, src, rec_id and the same. Without ``cap`` it is
+    max(50, 0.0015 * pool size).
     """
-    block = ["country", "src"]
-    counts = term_counts(pool, terms, [*block, "rec_id"])
-    n = pool.groupBy(*block).agg(F.count("*").alias("n"))
+    block = ["view", "country", "src"]
+    every = F.flatten(F.array(*(F.transform(terms, _marked(v)) for v, terms in views.items())))
+
+    def counted(df: DataFrame, keys: list[str]) -> DataFrame:
+        cut = F.split("term", "\u0001", 2)
+        return term_counts(df, every, keys).select(cut[0].alias("view"), *keys, cut[1].alias("term"), "tf")
+
+    counts = counted(pool, ["country", "src", "rec_id"])
+    n = pool.groupBy("country", "src").agg(F.count("*").alias("n")).withColumn("view", F.explode(F.array(*map(F.lit, views))))
     limit = F.lit(cap) if cap else F.greatest(F.lit(least_cap), F.floor(F.lit(max_df_frac) * F.col("n")))
-    kept, postings = index(counts, n, block, ["rec_id"], limit, least)
-    mine = term_counts(s1, terms, ["country", "s1_id"])
-    asked = mine.join(kept, ["country", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = asked.groupBy(*block, "s1_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    queries = asked.join(norm, [*block, "s1_id"]).select(*block, "s1_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
-    return top_k(sparse_scores(queries, postings, block, "s1_id", "rec_id"), [*block, "s1_id"], k, ["rec_id"])
+    at_least = F.lit(1)
+    for view, k in (least or {}).items():
+        at_least = F.when(F.col("view") == view, F.lit(k)).otherwise(at_least)
+    kept, postings = index(counts, n, block, ["rec_id"], limit, at_least)
+    queries = weighted(counted(s1, ["country", "s1_id"]), kept, ["view", "country", "term"], [*block, "s1_id"])
+    return queries, postings, sparse_scores(queries, postings, block, "s1_id", "rec_id")
+
+
+def _marked(view: str):
+    return lambda term: F.concat(F.lit(f"{view}\u0001"), term)
+
+
+def sparse_views(s1: DataFrame, pool: DataFrame, views: dict[str, Column], k: int, **options) -> DataFrame:
+    """view, country, src, s1_id, rec_id, score, rank: the k best records of every view, from one inverted index."""
+    return top_k(sparse_pairs(s1, pool, views, **options)[2], ["view", "country", "src", "s1_id"], k, ["rec_id"])
+
+
+def tfidf_top_k(s1: DataFrame, pool: DataFrame, terms: Column, k: int, cap: int | None = None, max_df_frac: float = 0.0015, least_cap: int = 50, least: int = 1) -> DataFrame:
+    """``sparse_views`` of one view, without the column view."""
+    return sparse_views(s1, pool, {"one": terms}, k, cap=cap, max_df_frac=max_df_frac, least_cap=least_cap, least={"one": least}).drop("view")
+
+
+def reverse_top_k(s1: DataFrame, pool: DataFrame, terms: Column, k: int, **options) -> DataFrame:
+    """country, src, rec_id, s1_id, score, rank: the k best queries of every record."""
+    return top_k(sparse_pairs(s1, pool, {"one": terms}, **options)[2].drop("view"), ["country", "src", "rec_id"], k, ["s1_id"])
+
+
+def similar(left: DataFrame, right: DataFrame, block: list[str], columns: list[str], share: tuple[int, int] = SHARE) -> DataFrame:
+    """block, a_* and b_* of the distinct rows whose word sets in one of ``columns`` have a Jaccard similarity of ``share`` or more.
+
+    Rare-first prefixes: two sets that are similar share one of the first
+    n - ceil(share * n) + 1 words of either, so a frequent word joins only
+    texts that have few rarer ones. No word is left out.
+    """
+
+    def sets(df: DataFrame) -> DataFrame:
+        kinds = F.array(*(F.struct(F.lit(i).alias("kind"), words(F.col(c)).alias("set")) for i, c in enumerate(columns)))
+        long = df.select(*block, *columns, F.explode(kinds).alias("k")).where(F.size("k.set") > 0)
+        return long.select(*block, *columns, "k.kind", F.size("k.set").alias("n"), F.explode("k.set").alias("word"))
+
+    a, b = sets(left), sets(right)
+    on = [*block, "kind", "word"]
+    df = a.select(*on).unionByName(b.select(*on)).groupBy(*on).agg(F.count("*").alias("df"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1).cast("int")
+
+    def heads(long: DataFrame, p: str) -> DataFrame:
+        rows = long.join(df, on).groupBy(*block, *columns, "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+        head = rows.select(*block, *columns, "kind", F.explode(F.slice("w", F.lit(1), prefix)).alias("w"))
+        return head.select(*block, "kind", F.col("w.word").alias("word"), *(F.col(c).alias(f"{p}_{c}") for c in columns))
+
+    ids = [*block, *(f"a_{c}" for c in columns), *(f"b_{c}" for c in columns)]
+    pairs = heads(a, "a").join(heads(b, "b"), on).select(*ids).distinct()
+    ok = F.lit(False)
+    for c in columns:
+        x, y = words(F.col(f"a_{c}")), words(F.col(f"b_{c}"))
+        ok = ok | ((F.size(F.array_intersect(x, y)) * share[1] >= F.size(F.array_union(x, y)) * share[0]) & (F.size(x) > 0) & (F.size(y) > 0))
+    return pairs.where(ok)
 
 
 def sparse_cosine(pairs: DataFrame, queries: DataFrame, postings: DataFrame, block: list[str]) -> DataFrame:
@@ -111,29 +181,32 @@ def key_join(s1: DataFrame, pool: DataFrame, key: str, cap: int = 50) -> DataFra
     """country, src, s1_id, rec_id of equal keys that aren't empty, for keys of at most ``cap`` pool records of a source."""
     block = ["country", "src", key]
     few = pool.where(F.col(key) != "").groupBy(*block).agg(F.count("*").alias("__n")).where(F.col("__n") <= cap).select(*block)
-    rare = pool.join(few, block, "left_semi").select(*block, "rec_id")
-    return s1.where(F.col(key) != "").select("country", key, "s1_id").join(rare, ["country", key]).select("country", "src", "s1_id", "rec_id")
+    # at most ``cap`` records stand against each part of the queries of a key
+    rare = pool.join(few, block, "left_semi").select(*block, "rec_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    asked = s1.where(F.col(key) != "").select("country", key, "s1_id", F.pmod(F.xxhash64("s1_id"), F.lit(SALTS)).cast("int").alias("__salt"))
+    return asked.join(rare, ["country", key, "__salt"]).select("country", "src", "s1_id", "rec_id")
 
 
-def fuse(views: dict[str, DataFrame], flags: dict[str, DataFrame], keep: int = 45) -> DataFrame:
+def fuse(views: DataFrame | None, names: tuple[str, ...], flags: dict[str, DataFrame], keep: int = 45) -> DataFrame:
     """Reciprocal-rank fusion: one row a pair with rank and score of each view, flags of each key, n_views and rrf; the best ``keep`` of each query (0: all).
 
-    Views are stacked and aggregated once, instead of joined one by one.
+    ``views``: the rows of ``sparse_views`` for the views ``names``. Views and
+    flags are stacked and aggregated once, instead of joined one by one.
     """
     pair = ["country", "src", "s1_id", "rec_id"]
-    parts = [v.select(*pair, F.lit(name).alias("view"), F.col("rank").cast("double").alias("rank"), "score") for name, v in views.items()]
+    parts = [views.select(*pair, "view", F.col("rank").cast("double").alias("rank"), "score")] if views is not None else []
     parts += [f.select(*pair, F.lit(name).alias("view"), F.lit(None).cast("double").alias("rank"), F.lit(None).cast("double").alias("score")) for name, f in flags.items()]
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)
     aggs = []
-    for name in views:
+    for name in names:
         of = F.col("view") == name
         aggs += [F.coalesce(F.min(F.when(of, F.col("rank"))), F.lit(MISSING_RANK)).alias(f"rank_{name}"), F.coalesce(F.max(F.when(of, F.col("score"))), F.lit(0.0)).alias(f"sc_{name}")]
     aggs += [F.max(F.when(F.col("view") == name, 1).otherwise(0)).cast("long").alias(f"in_{name}") for name in flags]
     out = stacked.groupBy(*pair).agg(*aggs)
-    rrf = sum((F.lit(1.0) / (RRF_K + F.col(f"rank_{v}")) for v in views), F.lit(0.0)) + sum((FLAG_GAIN * F.col(f"in_{f}") for f in flags), F.lit(0.0))
-    found = sum(((F.col(f"rank_{v}") < MISSING_RANK).cast("long") for v in views), F.lit(0))
+    rrf = sum((F.lit(1.0) / (RRF_K + F.col(f"rank_{v}")) for v in names), F.lit(0.0)) + sum((FLAG_GAIN * F.col(f"in_{f}") for f in flags), F.lit(0.0))
+    found = sum(((F.col(f"rank_{v}") < MISSING_RANK).cast("long") for v in names), F.lit(0))
     out = out.withColumn("n_views", found.cast("long")).withColumn("rrf", F.round(rrf, 6))
     return best(out, "rrf", keep) if keep else out
 
@@ -159,7 +232,9 @@ def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "s1
 
     Both sides are cut into blocks of ``block_rows`` vectors, and each pair of
     blocks is one matrix product that returns at most k rows a query; a final
-    window merges them. No side is broadcast, whatever its size.
+    window merges them. No side is broadcast, whatever its size; each vector
+    is shuffled once for every block of the other side, the price of an exact
+    search.
     """
     if not block:
         one = F.lit(0).alias("__all")
@@ -173,14 +248,15 @@ def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "s1
     many_q, many_d = (x.groupBy(*block).agg(F.max("__m").alias(n)) for x, n in ((q, "__mq"), (d, "__md")))
     q = q.join(many_d, block).withColumn("__d", F.explode(F.sequence(F.lit(0), F.col("__md") - 1))).withColumn("__q", F.col("__b"))
     d = d.join(many_q, block).withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__mq") - 1))).withColumn("__d", F.col("__b"))
-    q, d = (x.select(*block, "__q", "__d", "id", "v") for x in (q, d))
+    # new names of the same: the sides may come from one table
+    q, d = (x.select(*(F.col(c).alias(c) for c in (*block, "__q", "__d")), "id", "v") for x in (q, d))
     kinds = {f.name: f.dataType.simpleString() for f in queries.select(*block, query_id).schema.fields} | {doc_id: pool.schema[doc_id].dataType.simpleString()}
     schema = ", ".join(f"{n} {kinds[n]}" for n in [*block, query_id, doc_id]) + ", score double"
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], left.schema.field(n).type if n in block else (left if n == query_id else right).schema.field("id").type) for n in [*block, query_id, doc_id]} | {"score": pa.array([], pa.float64())})
-        a, b = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
+        a, b = (_matrix(t.column("v")) for t in (left, right))
         right_ids = right.column("id").to_pylist()
         order = sorted(range(len(right_ids)), key=lambda i: right_ids[i])  # ties go to the smallest id
         scores = np.round(a @ b[order].T, 6) + 0.0
@@ -196,6 +272,12 @@ def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "s1
     return top_k(found, [*block, query_id], k, [doc_id])
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, without Python lists."""
+    one = vectors.combine_chunks()
+    return one.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(one), -1)
+
+
 def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, vector: str = "vector") -> DataFrame:
     """``pairs`` with the inner product of the two records' vectors (-1 where one is missing)."""
     x = left.select(F.col(a), F.col(vector).alias("__a"))

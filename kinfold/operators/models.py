@@ -122,24 +122,34 @@ class Calibrator:
         return run(prob, country)
 
 
+    def state(self) -> dict:
+        """The curves as plain lists; the common one under the empty name."""
+        return {k or "": [list(x), list(y)] for k, (x, y) in self.curves.items()}
+
+    @classmethod
+    def of_state(cls, state: dict) -> Calibrator:
+        return cls(curves={k or None: (x, y) for k, (x, y) in state.items()})
+
+
 def rescaled(p: Column, old: float, new: float) -> Column:
-    """A probability moved from one share of positives to another."""
-    a, b = new / old, (1 - new) / (1 - old)
-    return a * p / (a * p + b * (1 - p))
+    """A probability moved from one share of positives to another: its odds times the ratio of the shares' odds."""
+    ratio = new / (1 - new) * (1 - old) / old
+    return F.lit(ratio) * p / (1 + F.lit(ratio - 1) * p)
 
 
 def em_prior(df: DataFrame, prob: str, trained: float, steps: int = 100, tolerance: float = 1e-6) -> float:
     """The share of positives that the probabilities imply, by expectation-maximisation over their histogram."""
     clipped = F.least(F.greatest(F.col(prob), F.lit(1e-6)), F.lit(1 - 1e-6))
     bins = df.groupBy((F.round(clipped * BINS) / BINS).alias("b")).agg(F.avg(clipped).alias("p"), F.count("*").alias("n")).collect()
-    p, n = (np.array([r[c] for r in bins], float) for c in ("p", "n"))
+    seen, rows = (np.array([r[c] for r in bins], float) for c in ("p", "n"))
+    odds = seen / (1 - seen) * (1 - trained) / trained  # what a row says beside the share
     share = trained
     for _ in range(steps):
-        a, b = share / trained, (1 - share) / (1 - trained)
-        new = float((n * (a * p / (a * p + b * (1 - p)))).sum() / max(n.sum(), 1))
-        if abs(new - share) < tolerance:
+        moved = odds * share / (1 - share)
+        implied = float(np.average(moved / (1 + moved), weights=rows)) if len(rows) else share
+        if abs(implied - share) < tolerance:
             break
-        share = new
+        share = implied
     return share
 
 

@@ -28,9 +28,9 @@ def splits(df: DataFrame, id_col: str, shares: dict[str, float], seed: int = 0)
     return df.withColumn("split", out)
 
 
-def keep_positives(df: DataFrame, label: str, rate: float, *ids: str, seed: int = 0) -> DataFrame:
-    """All rows of label 1, and a share of the others."""
-    return df.where((F.col(label) == 1) | (lot(*ids, seed=seed) < rate))
+def keep_positives(df: DataFrame, label: str, rate: float, *ids: str, seed: int = 0, by: Column | None = None) -> DataFrame:
+    """All rows of label 1, and a share of the others, dealt by a hash of the ids or by a number in [0, 1) of the caller's."""
+    return df.where((F.col(label) == 1) | ((lot(*ids, seed=seed) if by is None else by) < rate))
 
 
 def prune(pairs: DataFrame, floor: float = 0.02, keep: int = 8, prob: str = "prob") -> DataFrame:

@@ -1,7 +1,9 @@
 """The linkage views of the shared tables, as DataFrames and as SQL.
 
-``documents`` becomes records: a third each S1, S2 and S3, the first six words
-as a name, the last eight as an address, the language as a country.
+``documents`` becomes records: a third each S1, S2 and S3. Of a whole text, the
+six longest words are the name; its number of words and the eight words whose
+MD5 comes first are the address; the language is the country. Tables that many
+queries share are stages: made once in an application, and read from then on.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ from pyspark.sql.window import Window
 from kinfold.functions import tables as t
 from kinfold.functions.normalize import fold, normalize
 from kinfold.functions.similarity import words
+from kinfold.operators.blocking import SHARE, similar, top_k
+from kinfold.sources.store import once
+from kinfold.sources.tables import table
 
-#: Records that hold a word, at most, for the word to make a candidate pair.
-RARE = 20
+#: Candidates of an S1 row in each source.
+TOP = 25
 #: Probability from which a record belongs to its best S1 row.
 OWNED = 0.5
 
@@ -33,18 +38,24 @@ PROBES = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, src, country, doc_id, business_name, business_address."""
+    return once(spark, f"records of {sf_dir}", lambda: _records(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), F.regexp_extract_all(fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0)).alias("tok"))
+
+    def first(n: int, key, width: int):
+        """The n distinct words whose key of ``width`` characters comes first."""
+        keyed = F.array_sort(F.transform(F.array_distinct("tok"), lambda w: F.concat(key(w), w)))
+        return F.array_join(F.transform(F.slice(keyed, 1, n), lambda k: F.substr(k, F.lit(width + 1))), " ")
+
     src = (F.col("doc_id") % 3 + 1).cast("long")
-    last = F.slice("tok", F.greatest(F.size("tok") - 7, F.lit(1)), F.lit(8))
     return docs.select(
         F.concat(F.lit("S"), src, F.lit("-"), F.col("doc_id")).alias("entity_id"), src.alias("src"), "country", "doc_id",
-        F.array_join(F.slice("tok", 1, 6), " ").alias("business_name"), F.array_join(last, " ").alias("business_address"),
+        first(6, lambda w: F.lpad((99_999 - F.length(w)).cast("string"), 5, "0"), 5).alias("business_name"),
+        F.concat_ws(" ", F.size("tok").cast("string"), first(8, lambda w: F.md5(w.cast("binary")), 32)).alias("business_address"),
     )
 
 
@@ -54,9 +65,9 @@ def probes(spark: SparkSession) -> DataFrame:
 
 
 def normed(spark: SparkSession, sf_dir: str, with_probes: bool = False) -> DataFrame:
-    """Normalised records; cached, for a query reads them for either side and for several views."""
-    base = records(spark, sf_dir)
-    return normalize(base.unionByName(probes(spark)) if with_probes else base).cache()
+    """Normalised records."""
+    base = once(spark, f"normal forms of {sf_dir}", lambda: normalize(records(spark, sf_dir)))
+    return base.unionByName(normalize(probes(spark))) if with_probes else base
 
 
 def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,32 +75,64 @@ def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("src = 1").withColumnRenamed("entity_id", "s1_id").drop("src"), df.where("src > 1").withColumnRenamed("entity_id", "rec_id")
 
 
-_CARRIED = ("name_core", "name_key", "addr_norm", "nums", "legal")
+_TEXT = ("name_core", "addr_norm")
+_CARRIED = ("name_lat", "name_core", "name_key", "name_skel", "addr_norm", "nums", "legal")
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """country, a_* and b_* (name_core, addr_norm) and prob of all S1 and pool texts that are similar in name or address; copies of a text are one row."""
+
+    def make() -> DataFrame:
+        s1, pool = (x.select("country", *_TEXT).distinct() for x in sides(normed(spark, sf_dir)))
+        pairs = similar(s1, pool, ["country"], list(_TEXT))
+
+        def jaccard(c: str):
+            u, v = words(F.col(f"a_{c}")), words(F.col(f"b_{c}"))
+            return F.when((F.size(u) == 0) | (F.size(v) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(u, v)) / F.size(F.array_union(u, v)))
+
+        return pairs.withColumn("prob", F.round(0.5 * jaccard("name_core") + 0.5 * jaccard("addr_norm"), 6))
+
+    return once(spark, f"similar texts of {sf_dir}", make)
+
+
+def _named(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"{prefix}_{c}" for c in _TEXT})
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs that share a rare word, with prob = the mean Jaccard similarity of names and addresses, and both sides' columns; cached."""
-    s1, pool = sides(normed(spark, sf_dir))
-    text = F.concat_ws(" ", "name_core", "addr_norm")
-    posting = pool.select("country", "src", "rec_id", F.explode(words(text)).alias("word"))
-    few = posting.groupBy("country", "src", "word").agg(F.count("*").alias("df")).where(F.col("df") <= RARE).select("country", "src", "word")
-    posting = posting.join(few, ["country", "src", "word"])
-    asked = s1.select("country", "s1_id", F.explode(words(text)).alias("word"))
-    pair = asked.join(posting, ["country", "word"]).select("country", "src", "s1_id", "rec_id").distinct()
-    pair = pair.join(s1.select("s1_id", *(F.col(c).alias(f"s1_{c}") for c in _CARRIED)), "s1_id").join(pool.select("rec_id", *(F.col(c).alias(f"rec_{c}") for c in _CARRIED)), "rec_id")
+    """Each S1 row's ``TOP`` most probable records of each source among those similar in name or address, with both sides' columns; prob is the mean Jaccard similarity of names and addresses.
+
+    No word and no group of copies is left out: similar texts are found
+    without a cap, and of the copies of a text only the smallest ids can be
+    among the first.
+    """
 
-    def jaccard(c: str):
-        a, b = words(F.col(f"s1_{c}")), words(F.col(f"rec_{c}"))
-        return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    def make() -> DataFrame:
+        s1, pool = sides(normed(spark, sf_dir))
+        mine = ["country", "a_name_core", "a_addr_norm"]
+        copies = Window.partitionBy("country", "src", *_TEXT).orderBy("rec_id")
+        few = _named(pool.select("country", "src", "rec_id", *_TEXT, F.row_number().over(copies).alias("n")).where(F.col("n") <= TOP), "b").drop("n")
+        best = _classes(spark, sf_dir).join(few, ["country", "b_name_core", "b_addr_norm"])
+        best = top_k(best, [*mine, "src"], TOP, ["rec_id"], "prob").select(*mine, "src", "rec_id", "prob")
+        pair = _named(s1.select("country", "s1_id", *_TEXT), "a").join(best, mine).select("country", "src", "s1_id", "rec_id", "prob")
+        left, right = (x.select(i, *(F.col(c).alias(f"{p}_{c}") for c in _CARRIED)) for x, i, p in ((s1, "s1_id", "s1"), (pool, "rec_id", "rec")))
+        return pair.join(left, "s1_id").join(right, "rec_id").select("country", "src", "s1_id", "rec_id", "prob", *left.columns[1:], *right.columns[1:])
 
-    prob = F.round(0.5 * jaccard("name_core") + 0.5 * jaccard("addr_norm"), 6)
-    return pair.select("country", "src", "s1_id", "rec_id", prob.alias("prob"), *(f"s1_{c}" for c in _CARRIED), *(f"rec_{c}" for c in _CARRIED)).cache()
+    return once(spark, f"scored pairs of {sf_dir}", make)
 
 
-def truth(pairs: DataFrame) -> DataFrame:
-    """country, src, s1_id, rec_id: each record's most probable S1 row, from OWNED on."""
-    w = Window.partitionBy("rec_id").orderBy(F.desc("prob"), "s1_id")
-    return pairs.where(F.col("prob") >= OWNED).withColumn("n", F.row_number().over(w)).where("n = 1").select("country", "src", "s1_id", "rec_id")
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """country, src, s1_id, rec_id: each record's most probable S1 row, from OWNED on, whether it is among the candidates or not."""
+
+    def make() -> DataFrame:
+        s1, pool = sides(normed(spark, sf_dir))
+        least = _named(s1.groupBy("country", *_TEXT).agg(F.min("s1_id").alias("s1_id")), "a")
+        theirs = ["country", "b_name_core", "b_addr_norm"]
+        own = _classes(spark, sf_dir).where(F.col("prob") >= OWNED).join(least, ["country", "a_name_core", "a_addr_norm"])
+        own = top_k(own, theirs, 1, ["s1_id"], "prob").select(*theirs, "s1_id")
+        return _named(pool.select("country", "src", "rec_id", *_TEXT), "b").join(own, theirs).select("country", "src", "s1_id", "rec_id")
+
+    return once(spark, f"truth of {sf_dir}", make)
 
 
 # --- the same views in DuckDB SQL -------------------------------------------------------
@@ -116,9 +159,11 @@ def _phonetic(w: str) -> str:
     return w
 
 
+_LONGEST = "list_transform(list_slice(list_sort(list_transform(list_distinct(tok), lambda w: lpad(CAST(99999 - length(w) AS VARCHAR), 5, '0') || w)), 1, 6), lambda k: substr(k, 6))"
+_DEALT = "list_transform(list_slice(list_sort(list_transform(list_distinct(tok), lambda w: md5(w) || w)), 1, 8), lambda k: substr(k, 33))"
 RECORDS_SQL = f"""docs_ AS (SELECT doc_id, lang AS country, doc_id % 3 + 1 AS src, regexp_extract_all({_fold("text")}, '[a-z0-9]+') AS tok FROM documents),
-records AS (SELECT 'S' || src || '-' || doc_id AS entity_id, src, country, doc_id, array_to_string(list_slice(tok, 1, 6), ' ') AS business_name,
-  array_to_string(list_slice(tok, greatest(len(tok) - 7, 1), len(tok)), ' ') AS business_address FROM docs_)"""
+records AS (SELECT 'S' || src || '-' || doc_id AS entity_id, src, country, doc_id, coalesce(array_to_string({_LONGEST}, ' '), '') AS business_name,
+  len(tok) || ' ' || coalesce(array_to_string({_DEALT}, ' '), '') AS business_address FROM docs_)"""
 
 _VALUES = ", ".join("('P-{}', 1, 'xx', {}, '{}', '{}')".format(i, -1 - i, n.replace("'", "''"), a.replace("'", "''")) for i, (n, a) in enumerate(PROBES))
 PROBED_SQL = f"{RECORDS_SQL}, probed AS (SELECT * FROM records UNION ALL SELECT * FROM (VALUES {_VALUES}) v(entity_id, src, country, doc_id, business_name, business_address))"
@@ -162,13 +207,16 @@ def jaccard_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct(list_concat({x}, {y}))) END"
 
 
+def _overlap(a: str, b: str) -> str:
+    """Whether two texts share two fifths of their words, in whole numbers."""
+    x, y = words_sql(a), words_sql(b)
+    return f"({SHARE[1]} * len(list_intersect({x}, {y})) >= {SHARE[0]} * len(list_distinct(list_concat({x}, {y}))) AND {a} <> '' AND {b} <> '')"
+
+
 _S1_COLS = ", ".join(f"a.{c} AS s1_{c}" for c in _CARRIED)
 _REC_COLS = ", ".join(f"b.{c} AS rec_{c}" for c in _CARRIED)
 SCORED_SQL = f"""{normed_sql()},
-posting AS (SELECT country, src, rec_id, unnest({words_sql("name_core || ' ' || addr_norm")}) AS word FROM pool),
-few AS (SELECT country, src, word FROM posting GROUP BY ALL HAVING count(*) <= {RARE}),
-asked AS (SELECT country, s1_id, unnest({words_sql("name_core || ' ' || addr_norm")}) AS word FROM s1),
-pair AS (SELECT DISTINCT q.country, p.src, q.s1_id, p.rec_id FROM asked q JOIN posting p ON q.country = p.country AND q.word = p.word JOIN few f ON f.country = p.country AND f.src = p.src AND f.word = p.word),
-scored AS (SELECT pair.country, pair.src, pair.s1_id, pair.rec_id, round(0.5 * ({jaccard_sql("a.name_core", "b.name_core")}) + 0.5 * ({jaccard_sql("a.addr_norm", "b.addr_norm")}), 6) AS prob, {_S1_COLS}, {_REC_COLS}
-  FROM pair JOIN s1 a ON a.s1_id = pair.s1_id JOIN pool b ON b.rec_id = pair.rec_id),
-truth AS (SELECT country, src, s1_id, rec_id FROM scored WHERE prob >= {OWNED} QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY prob DESC, s1_id) = 1)"""
+every AS (SELECT a.country, b.src, a.s1_id, b.rec_id, round(0.5 * ({jaccard_sql("a.name_core", "b.name_core")}) + 0.5 * ({jaccard_sql("a.addr_norm", "b.addr_norm")}), 6) AS prob, {_S1_COLS}, {_REC_COLS}
+  FROM s1 a JOIN pool b ON a.country = b.country WHERE {_overlap("a.name_core", "b.name_core")} OR {_overlap("a.addr_norm", "b.addr_norm")}),
+scored AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY country, src, s1_id ORDER BY prob DESC, rec_id) <= {TOP}),
+truth AS (SELECT country, src, s1_id, rec_id FROM every WHERE prob >= {OWNED} QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY prob DESC, s1_id) = 1)"""

@@ -109,21 +109,21 @@ def segment_keys(spark, sf):
 
 
 @query(
-    f"WITH {normed_sql()}, t AS (SELECT DISTINCT country, src, rec_id, unnest({words_sql('addr_norm')}) AS term FROM pool) SELECT country, src, term, count(*) AS df FROM t GROUP BY ALL HAVING count(*) <= 50"
+    f"WITH {normed_sql()}, t AS (SELECT DISTINCT country, src, rec_id, unnest({words_sql('addr_norm')}) AS term FROM pool) SELECT country, src, term, count(*) AS df FROM t JOIN (SELECT country, src, count(*) AS n FROM pool GROUP BY ALL) USING (country, src) GROUP BY country, src, term, n HAVING count(*) <= greatest(50, floor(0.0015 * n))"
 )
 def term_df(spark, sf):
     _, pool = x.sides(x.normed(spark, sf))
     counts = blocking.term_counts(pool, blocking.word_terms(F.col("addr_norm")), ["country", "src", "rec_id"])
     n = pool.groupBy("country", "src").agg(F.count("*").alias("n"))
-    terms, _ = blocking.index(counts, n, ["country", "src"], ["rec_id"], 50)
+    terms, _ = blocking.index(counts, n, ["country", "src"], ["rec_id"], F.greatest(F.lit(50), F.floor(F.lit(0.0015) * F.col("n"))))
     return terms.select("country", "src", "term", "df")
 
 
-def _tfidf_sql(terms: str, k: int, cap: int, final: str) -> str:
+def _tfidf_sql(terms: str, k: int, final: str) -> str:
     return f"""WITH {normed_sql()},
 pt AS (SELECT country, src, rec_id, unnest({terms}) AS term FROM pool), pc AS (SELECT country, src, rec_id, term, count(*) AS tf FROM pt GROUP BY ALL),
 nn AS (SELECT country, src, count(*) AS n FROM pool GROUP BY ALL),
-df AS (SELECT country, src, term, count(*) AS df FROM pc GROUP BY ALL HAVING count(*) <= {cap}), idf AS (SELECT df.*, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM df JOIN nn USING (country, src)),
+df AS (SELECT country, src, term, count(*) AS df FROM pc JOIN nn USING (country, src) GROUP BY country, src, term, n HAVING count(*) <= greatest(50, floor(0.0015 * n))), idf AS (SELECT df.*, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM df JOIN nn USING (country, src)),
 pw AS (SELECT country, src, rec_id, term, (1 + ln(tf)) * idf AS w FROM pc JOIN idf USING (country, src, term)),
 pn AS (SELECT country, src, rec_id, sqrt(sum(w * w)) AS norm FROM pw GROUP BY ALL),
 qt AS (SELECT country, s1_id, unnest({terms}) AS term FROM s1), qc AS (SELECT country, s1_id, term, count(*) AS tf FROM qt GROUP BY ALL),
@@ -141,32 +141,28 @@ _CHARS = f"flatten(list_transform({_WORDS_ALL.format('name_core')}, lambda w: li
 _ALL = "SELECT country, src, s1_id, rec_id, score, rank FROM topk"
 
 
-def _addr_view(spark, sf, k=10):
+@query(_tfidf_sql(_ADDR_12, 25, _ALL))
+def tfidf_topk_word(spark, sf):
     s1, pool = x.sides(x.normed(spark, sf))
-    return blocking.tfidf_top_k(s1, pool, blocking.word_terms(F.col("addr_norm"), 2), k, 50)
+    return blocking.tfidf_top_k(s1, pool, blocking.word_terms(F.col("addr_norm"), 2), 25).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_tfidf_sql(_ADDR_12, 10, 50, _ALL))
-def tfidf_topk_word(spark, sf):
-    return _addr_view(spark, sf).withColumn("rank", F.col("rank").cast("long"))
+@query(_tfidf_sql(_CHARS, 25, _ALL))
+def tfidf_topk_char(spark, sf):
+    s1, pool = x.sides(x.normed(spark, sf))
+    return blocking.tfidf_top_k(s1, pool, blocking.char_terms(F.col("name_core")), 25).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_tfidf_sql(_CHARS, 10, 50, _ALL))
-def tfidf_topk_char(spark, sf):
+@query(_tfidf_sql(_CHARS.replace("name_core", "addr_norm"), 25, _ALL))
+def tfidf_topk_addr_char(spark, sf):
     s1, pool = x.sides(x.normed(spark, sf))
-    return blocking.tfidf_top_k(s1, pool, blocking.char_terms(F.col("name_core")), 10, 50).withColumn("rank", F.col("rank").cast("long"))
+    return blocking.tfidf_top_k(s1, pool, blocking.char_terms(F.col("addr_norm")), 25).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(
-    _tfidf_sql(
-        _ADDR_12, 1_000_000, 50, "SELECT country, src, rec_id, s1_id, score, row_number() OVER (PARTITION BY country, src, rec_id ORDER BY score DESC, s1_id) AS rank FROM sc QUALIFY rank <= 5"
-    )
-)
+@query(_tfidf_sql(_ADDR_12, 1, "SELECT country, src, rec_id, s1_id, score, row_number() OVER (PARTITION BY country, src, rec_id ORDER BY score DESC, s1_id) AS rank FROM sc QUALIFY rank <= 25"))
 def reverse_topk(spark, sf):
     s1, pool = x.sides(x.normed(spark, sf))
-    terms = blocking.word_terms(F.col("addr_norm"), 2)
-    every = blocking.tfidf_top_k(s1, pool, terms, 1_000_000, 50).drop("rank")
-    return blocking.top_k(every, ["country", "src", "rec_id"], 5, ["s1_id"]).withColumn("rank", F.col("rank").cast("long"))
+    return blocking.reverse_top_k(s1, pool, blocking.word_terms(F.col("addr_norm"), 2), 25).withColumn("rank", F.col("rank").cast("long"))
 
 
 _KEYS = "SELECT b.country, b.src, a.s1_id, b.rec_id FROM s1 a JOIN pool b ON a.country = b.country AND a.{k} = b.{k} WHERE b.{k} <> '' AND (SELECT count(*) FROM pool c WHERE c.country = b.country AND c.src = b.src AND c.{k} = b.{k}) <= 50"
@@ -180,21 +176,21 @@ def key_join_capped(spark, sf):
 
 def _fused(spark, sf, keep=45):
     s1, pool = x.sides(x.normed(spark, sf))
-    views = {"addr": blocking.tfidf_top_k(s1, pool, blocking.word_terms(F.col("addr_norm"), 2), 10, 50), "name": blocking.tfidf_top_k(s1, pool, blocking.word_terms(F.col("name_core")), 10, 50)}
+    views = blocking.sparse_views(s1, pool, {"addr": blocking.word_terms(F.col("addr_norm"), 2), "name": blocking.word_terms(F.col("name_core"))}, 25)
     flags = {"key": blocking.key_join(s1, pool, "name_key"), "skel": blocking.key_join(s1, pool, "name_skel")}
-    return blocking.fuse(views, flags, keep)
+    return blocking.fuse(views, ("addr", "name"), flags, keep)
 
 
 def _fused_ctes() -> str:
-    base = _tfidf_sql(_ADDR_12, 10, 50, "").strip()
-    name = _tfidf_sql(_WORDS_ALL.format("name_core"), 10, 50, "").split("pt AS", 1)[1]
+    base = _tfidf_sql(_ADDR_12, 25, "").strip()
+    name = _tfidf_sql(_WORDS_ALL.format("name_core"), 25, "").split("pt AS", 1)[1]
     name = "pt AS" + name
     for cte in ("pt", "pc", "nn", "df", "idf", "pw", "pn", "qt", "qc", "qw", "qn", "sc", "topk"):
         import re
 
         name = re.sub(rf"\b{cte}\b(?= AS \(| USING|\.|,| JOIN| GROUP| ON| QUALIFY|\)| WHERE)", f"{cte}_n", name)
         name = re.sub(rf"(FROM|JOIN) {cte}\b", rf"\1 {cte}_n", name)
-    name = name.replace("count(*) AS df_n", "count(*) AS df").replace("(1.0 + df_n)", "(1.0 + df)").replace("* idf_n AS w", "* idf AS w").replace("+ 1 AS idf_n", "+ 1 AS idf")
+    name = name.replace("count(*) AS df_n", "count(*) AS df").replace("0.0015 * n_n", "0.0015 * n").replace("(1.0 + df_n)", "(1.0 + df)").replace("* idf_n AS w", "* idf AS w").replace("+ 1 AS idf_n", "+ 1 AS idf")
     return f"""{base}, {name.strip()},
 ik AS ({_KEYS.format(k="name_key")}), isk AS ({_KEYS.format(k="name_skel")}),
 long AS (SELECT country, src, s1_id, rec_id, rank AS ra, score AS sa, NULL AS rn, NULL AS sn, 0 AS k, 0 AS s FROM topk UNION ALL SELECT country, src, s1_id, rec_id, NULL, NULL, rank, score, 0, 0 FROM topk_n
@@ -233,19 +229,33 @@ def pair_cosine(spark, sf):
     return blocking.pair_cosine(pairs, q, d, "s1_id", "rec_id").select("s1_id", "rec_id", "cos")
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_HISTOGRAM = f"list_transform(string_split('{_LETTERS}', ''), lambda c: length(name_core) - length(replace(name_core, c, '')))"
+
+
+def _histogram(df):
+    """Counts of each letter and digit in the name, at length 1: a dense view that SQL can follow."""
+    n = F.col("name_core")
+    return df.withColumn("vector", sim.unit(F.array(*(F.length(n) - F.length(F.replace(n, F.lit(c), F.lit(""))) for c in _LETTERS))))
+
+
 _UNION_SQL = f"""{_FUSED_SQL}, lexk AS (SELECT * FROM lex QUALIFY row_number() OVER (PARTITION BY country, src, s1_id ORDER BY rrf DESC, rec_id) <= 45),
-dns AS (SELECT country, src, s1_id, rec_id, rank, score FROM topk_n),
+hv AS (SELECT *, {_HISTOGRAM} AS h FROM (SELECT s1_id AS id, country, 1 AS src, name_core FROM s1 UNION ALL SELECT rec_id, country, src, name_core FROM pool)),
+hu AS (SELECT id, country, src, list_transform(h, lambda v: CASE WHEN list_sum(list_transform(h, lambda y: y * y)) > 0 THEN v / sqrt(list_sum(list_transform(h, lambda y: y * y))::DOUBLE) ELSE 0.0 END) AS u FROM hv),
+dp AS (SELECT a.country, b.src, a.id AS s1_id, b.id AS rec_id, round(list_dot_product(a.u, b.u), 6) AS score FROM hu a JOIN hu b ON a.country = b.country AND a.src = 1 AND b.src > 1),
+dns AS (SELECT *, row_number() OVER (PARTITION BY country, src, s1_id ORDER BY score DESC, rec_id) AS rank FROM dp QUALIFY rank <= 25),
 un AS (SELECT country, src, s1_id, rec_id, coalesce(rank_addr, 1e6) AS rank_addr, coalesce(sc_addr, 0) AS sc_addr, coalesce(rrf, 0) AS rrf, coalesce(rank::DOUBLE, 1e6) AS rank_dense, coalesce(score, 0) AS cos_dense FROM lexk FULL JOIN dns USING (country, src, s1_id, rec_id)),
 fu AS (SELECT *, round(rrf + 1.0 / (60 + rank_dense), 6) AS fused FROM un)
-SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY country, src, s1_id ORDER BY fused DESC, rec_id) <= 12"""
+SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY country, src, s1_id ORDER BY fused DESC, rec_id) <= 60"""
 
 
 @query(_UNION_SQL)
 def lex_dense_union(spark, sf):
-    """The union step; a second sparse view stands for the dense one, for want of an encoder."""
+    """Lexical views and an exact dense one, united."""
     s1, pool = x.sides(x.normed(spark, sf))
-    dense = blocking.tfidf_top_k(s1, pool, blocking.word_terms(F.col("name_core")), 10, 50)
-    out = blocking.unite(_fused(spark, sf), dense, 12)
+    asked = _histogram(s1).withColumn("src", F.explode(F.array(F.lit(2).cast("long"), F.lit(3).cast("long"))))
+    dense = blocking.dense_top_k(asked, _histogram(pool), 25, block=["country", "src"])
+    out = blocking.unite(_fused(spark, sf), dense, 60)
     return out.select("country", "src", "s1_id", "rec_id", "rank_addr", "sc_addr", "rrf", "rank_dense", "cos_dense", "fused")
 
 
@@ -283,6 +293,7 @@ def token_set_features(spark, sf):
     return x.scored(spark, sf).select(*_PAIR, *(c.alias(n) for n, c in cols.items()))
 
 
+_AFTER_NORMED = SCORED_SQL.removeprefix(normed_sql()).lstrip(",\n ")
 _A, _B = words_sql("s1_name_core"), words_sql("rec_name_core")
 _BOTH = f"len(list_intersect({_A}, {_B}))"
 
@@ -296,44 +307,32 @@ def subset_flags(spark, sf):
     return x.scored(spark, sf).select(*_PAIR, *(c.alias(n) for n, c in cols.items()))
 
 
-@query(_tfidf_sql(_ADDR_12, 1_000_000, 50, "SELECT p.country, p.src, p.s1_id, p.rec_id, coalesce(sc.score, 0.0) AS cos FROM (SELECT a.country, b.src, a.s1_id, b.rec_id FROM s1 a JOIN pool b ON a.country = b.country AND b.doc_id = a.doc_id + 4) p LEFT JOIN sc USING (country, src, s1_id, rec_id)"))
+@query(_tfidf_sql(_ADDR_12, 1, f", {_AFTER_NORMED} SELECT p.country, p.src, p.s1_id, p.rec_id, coalesce(sc.score, 0.0) AS cos FROM scored p LEFT JOIN sc USING (country, src, s1_id, rec_id)"))
 def sparse_pair_cosine(spark, sf):
-    """The sparse cosine of given pairs, whether a view retrieved them or not."""
+    """The sparse cosine of given pairs, whether the view retrieved them or not."""
     s1, pool = x.sides(x.normed(spark, sf))
-    pairs = s1.select("country", "s1_id", (F.col("doc_id") + 4).alias("doc_id")).join(pool.select("country", "src", "rec_id", "doc_id"), ["country", "doc_id"])
-    terms, block = blocking.word_terms(F.col("addr_norm"), 2), ["country", "src"]
-    counts = blocking.term_counts(pool, terms, [*block, "rec_id"])
-    kept, postings = blocking.index(counts, pool.groupBy(*block).agg(F.count("*").alias("n")), block, ["rec_id"], 50)
-    asked = blocking.term_counts(s1, terms, ["country", "s1_id"]).join(kept, ["country", "term"])
-    asked = asked.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = asked.groupBy(*block, "s1_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    queries = asked.join(norm, [*block, "s1_id"]).select(*block, "s1_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
-    return blocking.sparse_cosine(pairs, queries, postings, block).select(*_PAIR, "cos")
-
-
-def _number_rows(spark, sf):
-    s = x.table(spark, sf, "supplier")
-    k = F.col("s_suppkey")
-    return s.select(k.alias("id"), F.concat_ws(" ", k.cast("string"), (k * 37).cast("string")).alias("a"), F.concat_ws(" ", (k % 10 + 10).cast("string"), (k * 2).cast("string")).alias("b"))
+    queries, postings, _ = blocking.sparse_pairs(s1, pool, {"addr": blocking.word_terms(F.col("addr_norm"), 2)})
+    pairs = x.scored(spark, sf).select(*_PAIR).withColumn("view", F.lit("addr"))
+    return blocking.sparse_cosine(pairs, queries, postings, ["view", "country", "src"]).select(*_PAIR, "cos")
 
 
-_NUM_SQL = "r AS (SELECT s_suppkey AS id, [CAST(s_suppkey AS VARCHAR), CAST(s_suppkey * 37 AS VARCHAR)] AS a, [CAST(s_suppkey % 10 + 10 AS VARCHAR), CAST(s_suppkey * 2 AS VARCHAR)] AS b FROM supplier), d AS (SELECT id, list_distinct(a) AS a, list_distinct(b) AS b FROM r)"
+_NUM_SQL = f"d AS (SELECT {_IDS}, {words_sql('s1_nums')} AS a, {words_sql('rec_nums')} AS b FROM scored)"
 _EACH = "flatten(list_transform({a}, lambda p: list_transform({b}, lambda q: {e})))"
 
 
 @query(
-    f"""WITH {_NUM_SQL} SELECT id, len(list_intersect(a, b))::BIGINT AS num_inter, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS num_jac,
-  coalesce(list_min({_EACH.format(a="list_filter(a, lambda w: length(w) >= 2)", b="list_filter(b, lambda w: length(w) >= 2)", e="abs(CAST(p AS BIGINT) - CAST(q AS BIGINT))")})::DOUBLE, -1.0) AS num_mindiff,
+    f"""WITH {SCORED_SQL}, {_NUM_SQL} SELECT {_IDS}, len(list_intersect(a, b))::BIGINT AS num_inter, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) ELSE 0.0 END AS num_jac,
+  coalesce(list_min({_EACH.format(a="list_filter(a, lambda w: length(w) >= 2)", b="list_filter(b, lambda w: length(w) >= 2)", e="abs(CAST(p AS HUGEINT) - CAST(q AS HUGEINT))")})::DOUBLE, -1.0) AS num_mindiff,
   coalesce(list_max({_EACH.format(a="list_filter(a, lambda w: length(w) > 1)", b="list_filter(b, lambda w: length(w) > 1)", e="CASE WHEN p <> q AND (ends_with(p, q) OR ends_with(q, p)) THEN 1 ELSE 0 END")}), 0)::BIGINT AS num_sub FROM d"""
 )
 def number_features(spark, sf):
-    cols = sim.number_overlap(sim.words(F.col("a")), sim.words(F.col("b")))
-    return _number_rows(spark, sf).select("id", *(c.alias(n) for n, c in cols.items()))
+    cols = sim.number_overlap(sim.words(F.col("s1_nums")), sim.words(F.col("rec_nums")))
+    return x.scored(spark, sf).select(*_PAIR, *(c.alias(n) for n, c in cols.items()))
 
 
-@query(f"WITH {_NUM_SQL} SELECT id, list_min({_EACH.format(a='a', b='b', e='levenshtein(p, q)')})::BIGINT AS num_lev FROM d")
+@query(f"WITH {SCORED_SQL}, {_NUM_SQL} SELECT {_IDS}, coalesce(list_min({_EACH.format(a='a', b='b', e='levenshtein(p, q)')}), -1)::BIGINT AS num_lev FROM d")
 def levenshtein_numbers(spark, sf):
-    return _number_rows(spark, sf).select("id", sim.least_edits(sim.words(F.col("a")), sim.words(F.col("b"))).alias("num_lev"))
+    return x.scored(spark, sf).select(*_PAIR, sim.least_edits(sim.words(F.col("s1_nums")), sim.words(F.col("rec_nums"))).alias("num_lev"))
 
 
 _IDF_SQL = f"""WITH {SCORED_SQL}, nn AS (SELECT country, count(*) AS n FROM pool GROUP BY country), pt AS (SELECT country, rec_id, unnest({words_sql("name_core")}) AS word FROM pool),
@@ -351,35 +350,35 @@ def idf_jaccard(spark, sf):
     return refine.weighted_jaccard(x.scored(spark, sf), pool, "name_core", "s1_name_core", "rec_name_core", "a_nm_idf").select(*_PAIR, "a_nm_idf", "a_nm_idf_miss")
 
 
+_FIRST = "coalesce(TRY_CAST(string_split({}, ' ')[1] AS DOUBLE), -1.0)"
+_EXTRA = "len(list_filter({}, lambda w: NOT list_contains({}, w)))::BIGINT"
+
+
 @query(
-    f"""WITH {normed_sql("probed")} SELECT a.entity_id AS left_id, b.entity_id AS right_id, (a.legal = b.legal)::BIGINT AS legal_eq, (a.legal <> b.legal AND a.legal <> '' AND b.legal <> '')::BIGINT AS legal_conflict,
-  CASE WHEN a.legal = '' OR b.legal = '' THEN -1 ELSE (a.legal = b.legal)::INT END::BIGINT AS a_legal, round((length(a.name_lat) + 1.0) / (length(b.name_lat) + 1.0), 6) AS len_ratio, abs(length(a.name_lat) - length(b.name_lat))::BIGINT AS len_absdiff
-FROM normed a JOIN normed b ON b.doc_id = a.doc_id - 1 WHERE a.doc_id < 0"""
+    f"""WITH {SCORED_SQL} SELECT {_IDS}, (s1_legal = rec_legal)::BIGINT AS legal_eq, (s1_legal <> rec_legal AND s1_legal <> '' AND rec_legal <> '')::BIGINT AS legal_conflict,
+  CASE WHEN s1_legal = '' OR rec_legal = '' THEN -1 ELSE (s1_legal = rec_legal)::INT END::BIGINT AS a_legal, (s1_name_key = rec_name_key)::BIGINT AS key_eq, (s1_name_skel = rec_name_skel)::BIGINT AS skel_eq,
+  CASE WHEN {_FIRST.format("s1_nums")} < 0 OR {_FIRST.format("rec_nums")} < 0 THEN -1 ELSE ({_FIRST.format("s1_nums")} = {_FIRST.format("rec_nums")})::INT END::BIGINT AS a_num,
+  {_EXTRA.format(words_sql("rec_name_core"), words_sql("s1_name_core"))} AS a_extra, {_EXTRA.format(words_sql("s1_name_core"), words_sql("rec_name_core"))} AS a_drop,
+  round((length(s1_name_lat) + 1.0) / (length(rec_name_lat) + 1.0), 6) AS len_ratio, abs(length(s1_name_lat) - length(rec_name_lat))::BIGINT AS len_absdiff FROM scored"""
 )
 def legal_flags(spark, sf):
-    n = x.normalize(x.probes(spark)).select("entity_id", "doc_id", "legal", "name_lat")
-    a, b = (n.select(*(F.col(c).alias(f"{p}_{c}") for c in n.columns)) for p in "ab")
-    j = a.join(b, F.col("b_doc_id") == F.col("a_doc_id") - 1)
-    la, lb = F.length("a_name_lat"), F.length("b_name_lat")
-    flags = sim.legal_flags(F.col("a_legal"), F.col("b_legal"))
-    return j.select(
-        F.col("a_entity_id").alias("left_id"), F.col("b_entity_id").alias("right_id"), *(c.alias(k) for k, c in flags.items()),
-        sim.three_way(F.col("a_legal"), F.col("b_legal"), F.col("a_legal") == "", F.col("b_legal") == "").alias("a_legal"), F.round((la + 1) / (lb + 1), 6).alias("len_ratio"), F.abs(la - lb).cast("long").alias("len_absdiff"),
-    )
-
-
-@query(f"WITH {SCORED_SQL} SELECT {_IDS}, round(CASE WHEN s1_name_core = '' OR rec_name_core = '' THEN 0.0 ELSE jaro_winkler_similarity(s1_name_core, rec_name_core) END, 6) AS name_jw FROM scored")
+    c = F.col
+    la, lb = F.length("s1_name_lat"), F.length("rec_name_lat")
+    cols = sim.legal_flags(c("s1_legal"), c("rec_legal")) | sim.agreement(c("s1_name_core"), c("rec_name_core"), c("s1_nums"), c("rec_nums"), c("s1_legal"), c("rec_legal"))
+    cols |= {"key_eq": (c("s1_name_key") == c("rec_name_key")).cast("long"), "skel_eq": (c("s1_name_skel") == c("rec_name_skel")).cast("long")}
+    cols |= {"len_ratio": F.round((la + 1) / (lb + 1), 6), "len_absdiff": F.abs(la - lb).cast("long")}
+    return x.scored(spark, sf).select(*_PAIR, *(v.alias(k) for k, v in cols.items()))
+
+
+@query(f"WITH {SCORED_SQL} SELECT {_IDS}, round(CASE WHEN s1_name_lat = '' OR rec_name_lat = '' THEN 0.0 ELSE jaro_winkler_similarity(s1_name_lat, rec_name_lat) END, 6) AS name_jw FROM scored")
 def jaro_winkler(spark, sf):
-    return x.scored(spark, sf).select(*_PAIR, F.round(strings.score("jaro_winkler", F.col("s1_name_core"), F.col("rec_name_core")), 6).alias("name_jw"))
+    return x.scored(spark, sf).select(*_PAIR, F.round(strings.score("jaro_winkler", F.col("s1_name_lat"), F.col("rec_name_lat")), 6).alias("name_jw"))
 
 
 @query()
 def fuzz_scores(spark, sf):
     """All edit-based pair features in one Arrow round trip."""
-    s1, pool = x.sides(x.normed(spark, sf))
-    cols = ("name_lat", "name_core", "name_skel", "addr_norm")
-    pairs = x.scored(spark, sf).select(*_PAIR).join(s1.select("s1_id", *(F.col(c).alias(f"a_{c}") for c in cols)), "s1_id").join(pool.select("rec_id", *(F.col(c).alias(f"b_{c}") for c in cols)), "rec_id")
-    return pairs.withColumn("f", strings.pair_scores()).select(*_PAIR, "f.*")
+    return x.scored(spark, sf).withColumn("f", strings.pair_scores("s1_", "rec_")).select(*_PAIR, "f.*")
 
 
 # --- competition -------------------------------------------------------------------------
@@ -421,11 +420,12 @@ def stage2_competition(spark, sf):
 
 
 @query(
-    f"""WITH {SCORED_SQL} SELECT {_IDS}, row_number() OVER (PARTITION BY {_ONE} ORDER BY prob DESC, rec_id) AS s1_rank_p, round(sum(prob) OVER (PARTITION BY {_ONE}), 6) AS s1_sum_p,
+    f"""WITH {SCORED_SQL} SELECT {_IDS}, row_number() OVER (PARTITION BY {_ONE} ORDER BY prob DESC, rec_id) AS s1_rank_p, round(sum(prob) OVER (PARTITION BY {_ONE}), 6) AS s1_sum_p, max(prob) OVER (PARTITION BY {_ONE}) AS s1_best_p, round(prob - max(prob) OVER (PARTITION BY {_ONE}), 6) AS s1_gap_p, max(prob) OVER (PARTITION BY {_REC}) AS rec_best_p,
+  round(CASE WHEN row_number() OVER (PARTITION BY {_REC} ORDER BY prob DESC, s1_id) = 1 THEN prob - ({_runner("prob", _REC, "s1_id")}) ELSE prob - max(prob) OVER (PARTITION BY {_REC}) END, 6) AS rec_margin_p,
   (sum(CASE WHEN prob > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY {_ONE}))::BIGINT AS s1_n_hi, (sum(CASE WHEN prob > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY {_REC}))::BIGINT AS rec_n_hi FROM scored"""
 )
 def stage2_short(spark, sf):
-    return compete.stage_two_short(x.scored(spark, sf)).select(*_PAIR, "s1_rank_p", "s1_sum_p", "s1_n_hi", "rec_n_hi")
+    return compete.stage_two_short(x.scored(spark, sf)).select(*_PAIR, "s1_rank_p", "s1_sum_p", "s1_best_p", "s1_gap_p", "rec_best_p", "rec_margin_p", "s1_n_hi", "rec_n_hi")
 
 
 @query(
@@ -444,10 +444,10 @@ def leave_one_out_best(spark, sf):
 @query(
     f"""WITH {SCORED_SQL} SELECT {_IDS}, row_number() OVER (PARTITION BY {_S1} ORDER BY prob DESC, src, rec_id) AS xs_rank, (sum(CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY {_S1}))::BIGINT AS xs_n50,
   (sum(CASE WHEN prob >= 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY {_S1}))::BIGINT AS xs_n90, round(sum(prob) OVER (PARTITION BY {_S1}), 6) AS xs_sum, (sum(CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY {_REC}))::BIGINT AS r_n50,
-  row_number() OVER (PARTITION BY {_REC} ORDER BY prob DESC, s1_id) AS r_rank FROM scored"""
+  row_number() OVER (PARTITION BY {_REC} ORDER BY prob DESC, s1_id) AS r_rank, coalesce(CASE WHEN src = 2 THEN max(CASE WHEN src = 3 THEN prob END) OVER (PARTITION BY {_S1}) ELSE max(CASE WHEN src = 2 THEN prob END) OVER (PARTITION BY {_S1}) END, 0.0) AS xs_other_src FROM scored"""
 )
 def across_sources(spark, sf):
-    return compete.across_sources(x.scored(spark, sf)).select(*_PAIR, "xs_rank", "xs_n50", "xs_n90", "xs_sum", "r_n50", "r_rank")
+    return compete.across_sources(x.scored(spark, sf)).select(*_PAIR, "xs_rank", "xs_n50", "xs_n90", "xs_sum", "r_n50", "r_rank", "xs_other_src")
 
 
 # --- siblings ----------------------------------------------------------------------------
@@ -466,15 +466,13 @@ def sibling_groups(spark, sf):
 
 
 @query(
-    f"""WITH {SCORED_SQL}, {_GROUP_SQL}, few2 AS (SELECT * FROM scored WHERE prob >= 0.9 AND rec_id IN (SELECT min(rec_id) FROM scored GROUP BY s1_id)), want AS (SELECT DISTINCT s.country, s.src, s.s1_id, g.group_key FROM few2 s JOIN grp g USING (country, src, rec_id)),
+    f"""WITH {SCORED_SQL}, {_GROUP_SQL}, few2 AS (SELECT * FROM scored WHERE prob >= 0.5), want AS (SELECT DISTINCT s.country, s.src, s.s1_id, g.group_key FROM few2 s JOIN grp g USING (country, src, rec_id) WHERE s.prob >= 0.9),
 new AS (SELECT DISTINCT w.country, w.src, w.s1_id, g.rec_id FROM want w JOIN grp g USING (country, src, group_key)), fresh AS (SELECT * FROM new ANTI JOIN few2 USING (country, src, s1_id, rec_id))
 SELECT country, src, s1_id, rec_id FROM fresh QUALIFY row_number() OVER (PARTITION BY country, s1_id ORDER BY rec_id) <= 4"""
 )
 def sibling_expand(spark, sf):
-    """Only each query's first record counts as found, so that mates are left to add."""
-    pairs = x.scored(spark, sf)
-    first = pairs.groupBy("s1_id").agg(F.min("rec_id").alias("rec_id")).select("rec_id").distinct()
-    return sibling.expand(pairs.where("prob >= 0.9").join(first, "rec_id", "left_semi"), _groups(spark, sf)).select(*_PAIR)
+    """Mates of confident records that aren't likely records themselves."""
+    return sibling.expand(decide.by_threshold(x.scored(spark, sf), 0.5), _groups(spark, sf)).select(*_PAIR)
 
 
 @query(
@@ -505,23 +503,32 @@ def rarity_log1p(spark, sf):
 _CONF_SQL = "conf AS (SELECT * FROM scored WHERE prob >= 0.8 QUALIFY row_number() OVER (PARTITION BY country, s1_id ORDER BY prob DESC, src, rec_id) <= 8)"
 
 
+def _consensus_sql(name: str, mine: str, theirs: str, missing: str) -> str:
+    """CTE ``name``: the pairs with whether the record agrees with the most frequent value."""
+    return f"""{name}_v AS (SELECT DISTINCT country, s1_id, {mine} AS v FROM scored UNION ALL SELECT country, s1_id, {theirs} FROM conf), {name}_c AS (SELECT country, s1_id, v, count(*) AS c FROM {name}_v WHERE v <> {missing} GROUP BY ALL),
+{name}_m AS (SELECT country, s1_id, v AS mode FROM {name}_c QUALIFY row_number() OVER (PARTITION BY country, s1_id ORDER BY c DESC, v) = 1),
+{name} AS (SELECT s.country, s.src, s.s1_id, s.rec_id, CASE WHEN {theirs} = {missing} OR mode IS NULL THEN -1 ELSE ({theirs} = mode)::INT END::BIGINT AS {name} FROM scored s LEFT JOIN {name}_m m ON m.country = s.country AND m.s1_id = s.s1_id)"""
+
+
 @query(
-    f"""WITH {SCORED_SQL}, {_CONF_SQL}, v AS (SELECT DISTINCT country, s1_id, s1_name_key AS v FROM scored UNION ALL SELECT country, s1_id, rec_name_key FROM conf), c AS (SELECT country, s1_id, v, count(*) AS c FROM v WHERE v <> '' GROUP BY ALL),
-m AS (SELECT country, s1_id, v AS mode FROM c QUALIFY row_number() OVER (PARTITION BY country, s1_id ORDER BY c DESC, v) = 1)
-SELECT s.country, s.src, s.s1_id, s.rec_id, CASE WHEN rec_name_key = '' OR mode IS NULL THEN -1 ELSE (rec_name_key = mode)::INT END::BIGINT AS agrees FROM scored s LEFT JOIN m ON m.country = s.country AND m.s1_id = s.s1_id"""
+    f"""WITH {SCORED_SQL}, {_CONF_SQL}, {_consensus_sql("agrees", "s1_name_key", "rec_name_key", "''")}, {_consensus_sql("cons_legal", "s1_legal", "rec_legal", "''")}, {_consensus_sql("cons_num", _FIRST.format("s1_nums"), _FIRST.format("rec_nums"), "-1.0")}
+SELECT {_IDS}, agrees, cons_num, cons_legal FROM agrees JOIN cons_legal USING ({_IDS}) JOIN cons_num USING ({_IDS})"""
 )
 def consensus_mode(spark, sf):
-    return refine.consensus(x.scored(spark, sf), "s1_name_key", "rec_name_key", "", "agrees").select(*_PAIR, "agrees")
+    pairs = x.scored(spark, sf).withColumns({"s1_num": first_number(F.col("s1_nums")), "rec_num": first_number(F.col("rec_nums"))})
+    out = refine.consensus(pairs, "s1_name_key", "rec_name_key", "", "agrees")
+    out = refine.consensus(out, "s1_num", "rec_num", -1.0, "cons_num")
+    return refine.consensus(out, "s1_legal", "rec_legal", "", "cons_legal").select(*_PAIR, "agrees", "cons_num", "cons_legal")
 
 
 @query(
     f"""WITH {SCORED_SQL}, {_CONF_SQL}, sn AS (SELECT *, coalesce(TRY_CAST(string_split(rec_nums, ' ')[1] AS DOUBLE), -1.0) AS rec_num FROM scored), cn AS (SELECT *, coalesce(TRY_CAST(string_split(rec_nums, ' ')[1] AS DOUBLE), -1.0) AS rec_num FROM conf),
-j AS (SELECT a.*, 100 * ({jaccard_sql("a.rec_name_core", "b.rec_name_core")}) AS nm, CASE WHEN a.rec_addr_norm <> '' AND b.rec_addr_norm <> '' THEN 100 * ({jaccard_sql("a.rec_addr_norm", "b.rec_addr_norm")}) ELSE -1.0 END AS ad, b.prob AS mp, b.src AS msrc, a.rec_num >= 0 AND b.rec_num >= 0 AS nh, a.rec_num = b.rec_num AS ne
+j AS (SELECT a.*, 100 * ({jaccard_sql("a.rec_name_core", "b.rec_name_core")}) AS nm, CASE WHEN a.rec_addr_norm <> '' AND b.rec_addr_norm <> '' THEN 100 * ({jaccard_sql("a.rec_addr_norm", "b.rec_addr_norm")}) ELSE -1.0 END AS ad, b.prob AS mp, b.src AS msrc, a.rec_num >= 0 AND b.rec_num >= 0 AS nh, a.rec_num = b.rec_num AS ne, a.rec_legal <> '' AND b.rec_legal <> '' AS lh, a.rec_legal = b.rec_legal AS le
   FROM sn a JOIN cn b ON a.country = b.country AND a.s1_id = b.s1_id AND (a.src <> b.src OR a.rec_id <> b.rec_id)),
 m AS (SELECT {_IDS}, count(*) AS m_cnt, round(max(nm), 6) AS m_nm_max, round(avg(nm), 6) AS m_nm_mean, round(max(nm * mp), 6) AS m_nm_wmax, max((nm >= 99.5)::INT)::BIGINT AS m_nm_eq, round(max(ad), 6) AS m_ad_max, sum(nh::INT)::BIGINT AS m_num_has,
-  sum((nh AND ne)::INT)::BIGINT AS m_num_agree, round(max(CASE WHEN src <> msrc THEN nm ELSE 0.0 END), 6) AS m_x_nm_max FROM j GROUP BY {_IDS})
+  sum((nh AND ne)::INT)::BIGINT AS m_num_agree, sum((nh AND NOT ne)::INT)::BIGINT AS m_num_dis, sum(lh::INT)::BIGINT AS m_leg_has, sum((lh AND le)::INT)::BIGINT AS m_leg_agree, round(max(CASE WHEN src <> msrc THEN nm ELSE 0.0 END), 6) AS m_x_nm_max FROM j GROUP BY {_IDS})
 SELECT {_IDS}, coalesce(m_cnt, 0) AS m_cnt, coalesce(m_nm_max, 0.0) AS m_nm_max, coalesce(m_nm_mean, 0.0) AS m_nm_mean, coalesce(m_nm_wmax, 0.0) AS m_nm_wmax, coalesce(m_nm_eq, 0) AS m_nm_eq, coalesce(m_ad_max, -1.0) AS m_ad_max, coalesce(m_num_has, 0) AS m_num_has,
-  coalesce(m_num_agree, 0) AS m_num_agree, coalesce(m_x_nm_max, 0.0) AS m_x_nm_max FROM scored LEFT JOIN m USING ({_IDS})"""
+  coalesce(m_num_agree, 0) AS m_num_agree, coalesce(m_num_dis, 0) AS m_num_dis, coalesce(m_leg_has, 0) AS m_leg_has, coalesce(m_leg_agree, 0) AS m_leg_agree, coalesce(m_x_nm_max, 0.0) AS m_x_nm_max FROM scored LEFT JOIN m USING ({_IDS})"""
 )
 def mate_agg(spark, sf):
     """Mates by word Jaccard; the scorer is a parameter (token-set ratio in ``refined``)."""
@@ -531,7 +538,7 @@ def mate_agg(spark, sf):
         return 100 * F.when((F.size(u) == 0) | (F.size(v) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(u, v)) / F.size(F.array_union(u, v)))
 
     pairs = x.scored(spark, sf).withColumns({"rec_name": F.col("rec_name_core"), "rec_addr": F.col("rec_addr_norm"), "rec_num": first_number(F.col("rec_nums"))})
-    return refine.mates(pairs, jaccard, jaccard).select(*_PAIR, "m_cnt", "m_nm_max", "m_nm_mean", "m_nm_wmax", "m_nm_eq", "m_ad_max", "m_num_has", "m_num_agree", "m_x_nm_max")
+    return refine.mates(pairs, jaccard, jaccard).select(*_PAIR, "m_cnt", "m_nm_max", "m_nm_mean", "m_nm_wmax", "m_nm_eq", "m_ad_max", "m_num_has", "m_num_agree", "m_num_dis", "m_leg_has", "m_leg_agree", "m_x_nm_max")
 
 
 # --- decisions ---------------------------------------------------------------------------
@@ -576,7 +583,7 @@ SELECT threshold, margin, round(avg({_F05}), 6) AS macro_f05 FROM e GROUP BY ALL
 )
 def threshold_grid(spark, sf):
     pairs = x.scored(spark, sf)
-    return decide.tune(pairs, x.truth(pairs), x.sides(x.normed(spark, sf))[0], _GRID_T, _GRID_M)
+    return decide.tune(pairs, x.truth(spark, sf), x.sides(x.normed(spark, sf))[0], _GRID_T, _GRID_M)
 
 
 @query(
@@ -605,18 +612,21 @@ def candidate_lists(spark, sf):
     return decide.match_lists(x.sides(x.normed(spark, sf))[0], x.scored(spark, sf), "candidate_entity_ids")
 
 
+_ADDED = "list_transform(range(1, len({d}) + 2), lambda j: coalesce({d}[j], 0.0) * (1 - r.prob) + coalesce(CASE WHEN j > 1 THEN {d}[j - 1] END, 0.0) * r.prob)"
+
+
 @query(
-    f"""WITH {SCORED_SQL}, o AS (SELECT * FROM ({_owner_sql(0)}) QUALIFY row_number() OVER (PARTITION BY {_S1} ORDER BY prob DESC, src, rec_id) <= 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY {_S1} ORDER BY prob DESC, src, rec_id) AS i FROM o), w AS (SELECT country, s1_id, coalesce(max(CASE WHEN i = 1 THEN prob END), 0) AS a, coalesce(max(CASE WHEN i = 2 THEN prob END), 0) AS b, coalesce(max(CASE WHEN i = 3 THEN prob END), 0) AS c, count(*) AS n FROM r GROUP BY ALL),
-x AS (SELECT country, s1_id, n, k, sum((CASE WHEN p = 1 THEN a ELSE 1 - a END) * (CASE WHEN q = 1 THEN b ELSE 1 - b END) * (CASE WHEN s = 1 THEN c ELSE 1 - c END) * (CASE WHEN m = 1 THEN 0.03 ELSE 0.97 END)
-    * CASE WHEN k = 0 THEN (p + q + s + m = 0)::INT ELSE 1.25 * (p + (k >= 2)::INT * q + (k >= 3)::INT * s) / (0.25 * (p + q + s + m) + k) END) AS f
-  FROM w, (VALUES (0), (1)) P(p), (VALUES (0), (1)) Q(q), (VALUES (0), (1)) S(s), (VALUES (0), (1)) M(m), (VALUES (0), (1), (2), (3)) K(k) WHERE k <= n GROUP BY ALL),
-b AS (SELECT country, s1_id, k, round(f, 9) AS f FROM x QUALIFY row_number() OVER (PARTITION BY country, s1_id ORDER BY round(f, 9) DESC, k) = 1)
+    f"""WITH RECURSIVE {SCORED_SQL}, o AS (SELECT * FROM ({_owner_sql(0)}) QUALIFY row_number() OVER (PARTITION BY {_S1} ORDER BY prob DESC, src, rec_id) <= {decide.TOP}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {_S1} ORDER BY prob DESC, src, rec_id) AS i, count(*) OVER (PARTITION BY {_S1}) AS n FROM o),
+head AS (SELECT DISTINCT country, s1_id, 0::BIGINT AS i, [1.0::DOUBLE] AS d FROM r UNION ALL SELECT head.country, head.s1_id, r.i, {_ADDED.format(d="head.d")} FROM head JOIN r ON r.country = head.country AND r.s1_id = head.s1_id AND r.i = head.i + 1),
+rest AS (SELECT DISTINCT country, s1_id, n AS i, [1 - {decide.MISS_RATE}::DOUBLE, {decide.MISS_RATE}::DOUBLE] AS d FROM r UNION ALL SELECT rest.country, rest.s1_id, r.i - 1, {_ADDED.format(d="rest.d")} FROM rest JOIN r ON r.country = rest.country AND r.s1_id = rest.s1_id AND r.i = rest.i),
+f AS (SELECT country, s1_id, head.i AS k, round(CASE WHEN head.i = 0 THEN rest.d[1] ELSE list_sum(flatten(list_transform(range(0, len(head.d)), lambda h: list_transform(range(0, len(rest.d)), lambda m: head.d[h + 1] * rest.d[m + 1] * 1.25 * h / (0.25 * (h + m) + head.i))))) END, 9) AS f
+  FROM head JOIN rest USING (country, s1_id, i)),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY country, s1_id ORDER BY f DESC, k) = 1)
 SELECT r.country, r.s1_id, r.src, r.rec_id, r.prob, round(b.f, 6) AS expected_f FROM r JOIN b ON b.country = r.country AND b.s1_id = r.s1_id AND r.i <= b.k"""
 )
 def expected_f05(spark, sf):
-    """At most three records a query, so that SQL can enumerate all outcomes."""
-    return decide.expected_selection(decide.one_owner(x.scored(spark, sf)), top=3).select("country", "s1_id", "src", "rec_id", "prob", "expected_f")
+    return decide.expected_selection(decide.one_owner(x.scored(spark, sf))).select("country", "s1_id", "src", "rec_id", "prob", "expected_f")
 
 
 # --- evaluation --------------------------------------------------------------------------
@@ -628,7 +638,7 @@ cnt AS (SELECT s1.country, s1.s1_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_t
 
 def _evaluated(spark, sf):
     pairs = x.scored(spark, sf)
-    return evaluate.by_query(x.sides(x.normed(spark, sf))[0], _chosen(pairs), x.truth(pairs))
+    return evaluate.by_query(x.sides(x.normed(spark, sf))[0], _chosen(pairs), x.truth(spark, sf))
 
 
 @query(f"WITH {_COUNTS_SQL} SELECT * FROM f")
@@ -651,7 +661,7 @@ _VIEWS_SQL = f"WITH {SCORED_SQL}, vk AS ({_KEYS.format(k='name_key')}), va AS ({
 
 def _key_views(spark, sf):
     s1, pool = x.sides(x.normed(spark, sf))
-    return blocking.fuse({}, {"key": blocking.key_join(s1, pool, "name_key"), "addr": blocking.key_join(s1, pool, "addr_norm")}, 0)
+    return blocking.fuse(None, (), {"key": blocking.key_join(s1, pool, "name_key"), "addr": blocking.key_join(s1, pool, "addr_norm")}, 0)
 
 
 @query(
@@ -659,7 +669,7 @@ def _key_views(spark, sf):
 FROM truth t LEFT JOIN vk a ON a.s1_id = t.s1_id AND a.rec_id = t.rec_id LEFT JOIN va b ON b.s1_id = t.s1_id AND b.rec_id = t.rec_id GROUP BY t.country"""
 )
 def recall_by_view(spark, sf):
-    return evaluate.view_recall(_key_views(spark, sf), x.truth(x.scored(spark, sf)), {"key": F.col("in_key") == 1, "addr": F.col("in_addr") == 1})
+    return evaluate.view_recall(_key_views(spark, sf), x.truth(spark, sf), {"key": F.col("in_key") == 1, "addr": F.col("in_addr") == 1})
 
 
 @query(
@@ -668,7 +678,7 @@ SELECT country, count(*) AS n, round(avg(CASE WHEN n_true = 0 THEN 1.0 WHEN hits
   coalesce(round(sum((n_true > 0 AND hits = n_true)::INT) / nullif(sum((n_true > 0)::INT), 0)::DOUBLE, 6), 0.0) AS fully_recovered, coalesce(round(sum((n_true > 0 AND hits = 0)::INT) / nullif(sum((n_true > 0)::INT), 0)::DOUBLE, 6), 0.0) AS zero_hit FROM e GROUP BY country"""
 )
 def oracle_ceiling(spark, sf):
-    return evaluate.ceiling(x.sides(x.normed(spark, sf))[0], _key_views(spark, sf), x.truth(x.scored(spark, sf)))
+    return evaluate.ceiling(x.sides(x.normed(spark, sf))[0], _key_views(spark, sf), x.truth(spark, sf))
 
 
 @query(
@@ -680,43 +690,49 @@ SELECT *, round(hit / n::DOUBLE, 6) AS share_hit, round(a_not_retrieved / n::DOU
 def miss_taxonomy(spark, sf):
     pairs = x.scored(spark, sf)
     views = _key_views(spark, sf)
-    return evaluate.fate_shares(evaluate.taxonomy(x.truth(pairs), views, views.where("in_addr = 1"), _chosen(pairs)), "country", "src")
+    return evaluate.fate_shares(evaluate.taxonomy(x.truth(spark, sf), views, views.where("in_addr = 1"), _chosen(pairs)), "country", "src")
 
 
 @query(f"WITH {SCORED_SQL}, {_CHOSEN_SQL} SELECT c.country, count(*) AS false_positives FROM chosen c ANTI JOIN truth t ON t.s1_id = c.s1_id AND t.rec_id = c.rec_id GROUP BY c.country")
 def false_positives(spark, sf):
     pairs = x.scored(spark, sf)
-    return evaluate.false_positives(decide.by_threshold(decide.one_owner(pairs), 0.4), x.truth(pairs))
+    return evaluate.false_positives(decide.by_threshold(decide.one_owner(pairs), 0.4), x.truth(spark, sf))
 
 
 ORACLE["false_positives"] = ORACLE["false_positives"].replace("prob >= 0.6", "prob >= 0.4")
 
 
 @query(
-    f"""WITH {normed_sql()}, s2 AS (SELECT s1_id FROM s1 WHERE doc_id % 2 = 0), ow AS (SELECT rec_id, 'S1-' || (doc_id - doc_id % 3) AS owner FROM pool)
-SELECT p.rec_id, (o.owner NOT IN (SELECT s1_id FROM s2))::BIGINT AS oth FROM pool p JOIN ow o USING (rec_id)"""
+    f"""WITH {SCORED_SQL}, s2 AS (SELECT s1_id FROM truth GROUP BY s1_id HAVING count(*) > 1)
+SELECT p.rec_id, (t.s1_id IS NOT NULL AND t.s1_id NOT IN (SELECT s1_id FROM s2))::BIGINT AS oth FROM pool p LEFT JOIN truth t USING (rec_id)"""
 )
 def owned_outside(spark, sf):
-    s1, pool = x.sides(x.normed(spark, sf))
-    owner = pool.select("rec_id", F.concat(F.lit("S1-"), F.col("doc_id") - F.col("doc_id") % 3).alias("owner"))
-    return evaluate.owned_outside(pool.select("rec_id"), owner, s1.where("doc_id % 2 = 0"))
+    """Records whose owner isn't among the S1 rows with several records."""
+    _, pool = x.sides(x.normed(spark, sf))
+    truth = x.truth(spark, sf)
+    owner = pool.select("rec_id").join(truth.select("rec_id", F.col("s1_id").alias("owner")), "rec_id", "left").na.fill("", ["owner"])
+    return evaluate.owned_outside(pool.select("rec_id"), owner, truth.groupBy("s1_id").count().where("count > 1"))
 
 
 # --- validation, mining, sampling --------------------------------------------------------
 
 
 @query(
-    f"""WITH {normed_sql()}, r AS (SELECT s1_id, CASE WHEN doc_id % 7 = 0 THEN 'S2-1,S2-1' WHEN doc_id % 11 = 0 THEN 'S1-9' WHEN doc_id % 13 = 0 THEN 'X-1,S3-2' ELSE '' END AS l FROM s1 WHERE doc_id % 17 <> 0),
+    f"""WITH {SCORED_SQL}, {_CHOSEN_SQL}, l AS (SELECT s1_id, string_agg(rec_id, ',' ORDER BY rec_id) AS ids, count(*) AS n FROM chosen GROUP BY s1_id),
+r AS (SELECT s1.s1_id, CASE WHEN n IS NULL THEN s1.s1_id WHEN n = 1 THEN ids || ',' || ids WHEN n = 2 THEN ids || ',X-1,S3-x' ELSE ids END AS l FROM s1 LEFT JOIN l USING (s1_id) WHERE coalesce(n, 0) < 4),
 f AS (SELECT s1_id, unnest(list_filter(string_split(l, ','), lambda w: w <> '')) AS rec_id FROM r)
 SELECT 'empty_id' AS rule, 0::BIGINT AS n UNION ALL SELECT 'duplicate_row', 0 UNION ALL SELECT 'repeated_id_in_list', count(*) FROM r WHERE len(list_distinct(string_split(l, ','))) < len(string_split(l, ','))
 UNION ALL SELECT 'self_match', count(*) FROM f WHERE starts_with(rec_id, 'S1-') UNION ALL SELECT 'wrong_prefix', count(*) FROM f WHERE NOT regexp_matches(rec_id, '^S[123]-')
-UNION ALL SELECT 'missing_row', count(*) FROM s1 WHERE doc_id % 17 = 0 UNION ALL SELECT 'unexpected_row', 0 UNION ALL SELECT 'unknown_id', count(*) FROM f WHERE rec_id NOT IN (SELECT rec_id FROM pool)"""
+UNION ALL SELECT 'missing_row', count(*) FROM s1 WHERE s1_id NOT IN (SELECT s1_id FROM r) UNION ALL SELECT 'unexpected_row', 0 UNION ALL SELECT 'unknown_id', count(*) FROM f WHERE rec_id NOT IN (SELECT rec_id FROM pool)"""
 )
 def validate_rules(spark, sf):
+    """Match lists that were spoilt: empty ones hold their own id, single ones their record twice, pairs unknown ids; the longest are missing."""
     s1, pool = x.sides(x.normed(spark, sf))
-    d = F.col("doc_id")
-    lists = F.when(d % 7 == 0, "S2-1,S2-1").when(d % 11 == 0, "S1-9").when(d % 13 == 0, "X-1,S3-2").otherwise("")
-    return validate.validate(s1.where(d % 17 != 0).select("s1_id", lists.alias("matched_entity_ids")), s1, pool).select("rule", "n")
+    chosen, ids = _chosen(x.scored(spark, sf)), F.col("matched_entity_ids")
+    n = F.when(ids == "", F.lit(0)).otherwise(F.size(F.split(ids, ",")))
+    lists = decide.match_lists(s1, chosen).withColumn("n", n).where("n < 4")
+    spoilt = F.when(F.col("n") == 0, F.col("s1_id")).when(F.col("n") == 1, F.concat(ids, F.lit(","), ids)).when(F.col("n") == 2, F.concat(ids, F.lit(",X-1,S3-x"))).otherwise(ids)
+    return validate.validate(lists.select("s1_id", spoilt.alias("matched_entity_ids")), s1, pool).select("rule", "n")
 
 
 _REST_SQL = f"""{SCORED_SQL}, l AS (SELECT list_filter(string_split(s1_addr_norm, ' '), lambda w: w <> '' AND NOT list_contains(string_split(rec_addr_norm, ' '), w)) AS a, list_filter(string_split(rec_addr_norm, ' '), lambda w: w <> '' AND NOT list_contains(string_split(s1_addr_norm, ' '), w)) AS b FROM scored WHERE prob >= 0.3),
@@ -739,9 +755,9 @@ def hash_group_split(spark, sf):
 
 @query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders WHERE o_orderstatus = 'F' OR (o_orderkey * 7919) % 100 < 25")
 def neg_sample(spark, sf):
-    """Negatives kept by an arithmetic lot, which any engine can follow; the operator's own lot is a hash."""
+    """Negatives kept by an arithmetic lot, which any engine can follow."""
     o = x.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    return o.where((F.col("y") == 1) | (F.pmod(F.col("o_orderkey") * 7919, F.lit(100)) < 25))
+    return sampling.keep_positives(o, "y", 0.25, by=F.pmod(F.col("o_orderkey") * 7919, F.lit(100)) / 100)
 
 
 @query(f"WITH {SCORED_SQL} SELECT {_IDS}, prob, round(ln(greatest(least(prob, 0.9999), 0.0001) / (1 - greatest(least(prob, 0.9999), 0.0001))), 6) AS logit FROM scored WHERE prob BETWEEN 0.03 AND 0.97")
@@ -758,7 +774,7 @@ def inspection_sample(spark, sf):
 def mini_dataset(spark, sf):
     pairs = x.scored(spark, sf)
     s1, pool = x.sides(x.normed(spark, sf))
-    few, records = sampling.mini(s1, pool, x.truth(pairs), 20, 50)
+    few, records = sampling.mini(s1, pool, x.truth(spark, sf), 20, 50)
     return few.select(F.col("s1_id").alias("entity_id"), "country", F.lit(1).cast("long").alias("src")).unionByName(records.select(F.col("rec_id").alias("entity_id"), "country", "src"))
 
 

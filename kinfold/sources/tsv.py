@@ -27,8 +27,8 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def truth_pairs(truth: DataFrame) -> DataFrame:
-    """s1_id, rec_id."""
-    return truth.select("s1_id", F.explode("rec_ids").alias("rec_id"))
+    """s1_id, rec_id, and pos, the record's place in the list."""
+    return truth.select("s1_id", F.posexplode("rec_ids").alias("pos", "rec_id")).select("s1_id", "rec_id", "pos")
 
 
 def owners(pool: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each micro-batch is normalised and joined to the S1 key table by exact name
 key and by address key; the best query of each record goes to the sink. The S1
-side is static, so no state is kept.
+side is static, so no state is kept; of S1 rows with equal texts only the one
+of the smallest id can be the best, so a key holds each text once.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ def keyed(df: DataFrame) -> DataFrame:
     return n.withColumn("key", F.explode(F.filter(keys, lambda k: F.length(k) > 2)))
 
 
-def link_batch(batch: DataFrame, s1_keys: DataFrame, threshold: float = 0.5, cap: int = 50) -> DataFrame:
-    """country, src, rec_id, s1_id, prob of the records of a batch that reach ``threshold``; S1 keys of more than ``cap`` rows are left out."""
-    few = s1_keys.groupBy("country", "key").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("country", "key")
-    s1 = s1_keys.join(few, ["country", "key"], "left_semi").select("country", "key", F.col("entity_id").alias("s1_id"), F.col("name_core").alias("a_n"), F.col("addr_norm").alias("a_a"))
+def s1_keys(s1: DataFrame) -> DataFrame:
+    """country, key, a_n, a_a (both texts) and the smallest s1_id of each."""
+    return keyed(s1).groupBy("country", "key", F.col("name_core").alias("a_n"), F.col("addr_norm").alias("a_a")).agg(F.min("entity_id").alias("s1_id"))
+
+
+def link_batch(batch: DataFrame, s1: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """country, src, rec_id, s1_id, prob of the records of a batch that reach ``threshold``. ``s1``: the result of ``s1_keys``."""
     pairs = keyed(batch).join(s1, ["country", "key"])
 
     def jaccard(a, b):
@@ -41,7 +45,9 @@ def link_batch(batch: DataFrame, s1_keys: DataFrame, threshold: float = 0.5, cap
 
 def link_stream(records: DataFrame, s1: DataFrame, sink: str, checkpoint: str, threshold: float = 0.5, trigger: dict | None = None) -> StreamingQuery:
     """Link a stream of records (entity_id, src, country, business_name, business_address); a folder of Parquet per micro-batch, so that a repeated batch replaces itself."""
-    keys = keyed(s1).select("country", "key", "entity_id", "name_core", "addr_norm").cache()
+    # a table instead of a cache: it outlives lost executors, and goes with the checkpoint
+    s1_keys(s1).write.mode("overwrite").parquet(f"{checkpoint}/s1-keys")
+    keys = s1.sparkSession.read.parquet(f"{checkpoint}/s1-keys")
 
     def write(batch: DataFrame, number: int) -> None:
         link_batch(batch, keys, threshold).write.mode("overwrite").parquet(f"{sink}/batch={number}")

@@ -67,6 +67,19 @@ def test_fold_any(spark):
     assert [r[0] for r in df.select(n.fold_any("t")).collect()] == ["creme brulee ss", "omega", ""]
 
 
+def test_normal_forms_of_any_script(spark):
+    """Romanised names and addresses, and the same forms as by Latin folding where that suffices."""
+    rows = [(1, "Αλφα Βητα ΕΠΕ", "Οδος 12"), (2, "Société Générale S.A.R.L", "12 High Street"), (3, "ООО Ромашка", "улица 5"), (4, "ﬁne ＡＣＭＥ Ltd", None), (5, "मुंबई ३", "")]
+    df = spark.createDataFrame(rows, "id int, business_name string, business_address string")
+    got = {r["id"]: r for r in n.normalize(df, any_script=True).collect()}
+    latin = {r["id"]: r for r in n.normalize(df).collect()}
+    assert got[1]["name_core"].split()[0] == "alphabeta"[:5] and got[1]["nums"] == "12" and got[1]["native"] == 1
+    assert got[2] == latin[2]
+    assert got[3]["name_core"].isascii() and len(got[3]["name_core"].split()) == 2
+    assert (got[4]["name_core"], got[4]["legal"]) == ("fine acme", "ltd")
+    assert got[5]["name_core"].isascii() and got[5]["name_core"].endswith("3")
+
+
 def test_alias_rewrite(spark):
     w = F.array(*map(F.lit, ["new", "york", "new", "st"]))
     got = spark.range(1).select(n.alias_rewrite(w, {"new york": "ny", "new": "nw", "st": "street"})).first()[0]

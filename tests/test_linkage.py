@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import blocking, decide, evaluate, models, sampling, validate
 from kinfold.plans import fixtures as x
-from kinfold.plans.linkage import Settings, link, split
+from kinfold.plans.linkage import Run, Settings
 from kinfold.sources import tsv
 from kinfold.sources.store import Store
 from kinfold.streaming.linkage import link_stream
@@ -13,7 +13,7 @@ from kinfold.streaming.linkage import link_stream
 
 @pytest.fixture(scope="module")
 def pairs(spark, sf):
-    return x.scored(spark, sf).cache()
+    return x.scored(spark, sf)
 
 
 def test_one_owner_and_cap(pairs):
@@ -82,17 +82,41 @@ def test_tsv_round_trip(spark, tmp_path):
     assert part.read_text() == "s1_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n"
 
 
-def test_whole_run_and_resume(spark, sf, tmp_path):
-    records = x.records(spark, sf)
-    truth = x.truth(x.scored(spark, sf)).select("s1_id", "rec_id").cache()
+def test_whole_run_and_resume(spark, tmp_path, monkeypatch):
+    """Every stage is written, a second run trains nothing, and the holdout has no part in any choice."""
+    wide = "/root/testdata/sf0.01"
+    records, truth = x.records(spark, wide), x.truth(spark, wide).select("s1_id", "rec_id")
     store = Store(spark, str(tmp_path))
-    settings = Settings(k=5, keep=10, keep_union=10, df_cap=50, min_count=3, trees=3, depth=3, negatives=1.0, thresholds=[0.3, 0.5], margins=[0.0])
-    first = link(store, records, truth, settings)
-    ids = {(r["s1_id"], r["rec_id"]) for r in first.collect()}
-    assert store.get_state("decision")["mode"] in ("threshold", "expected")
-    assert {(r["s1_id"], r["rec_id"]) for r in link(store, records, truth, settings).collect()} == ids
-    s1, _ = split(store.read(store.path("prep")))
-    assert {a for a, _ in ids} <= {r["s1_id"] for r in s1.select("s1_id").collect()}
+    settings = Settings(k=5, keep=10, keep_union=10, min_count=3, trees=2, depth=3, negatives=1.0, bags=2, alias_count=1, thresholds=[0.3, 0.5], margins=[0.0])
+    asked, among = [], Run.among
+    monkeypatch.setattr(Run, "among", lambda self, df, *groups: asked.append(groups) or among(self, df, *groups))
+    run = Run(store, records, truth, settings)
+    state = run.decision()
+    held = [i for i, g in enumerate(asked) if "holdout" in g]
+    assert held and min(held) == len(asked) - len(held)  # only the last step, the score of what was chosen
+    ids = {(r["s1_id"], r["rec_id"]) for r in run.chosen().collect()}
+    assert {"prune", "judge", "stack", "curve", "refine-0", "refine-1"} == set(run.trained)
+    assert all(store.done(store.path(t)) for t in ("prep", "retrieved", "cand", "expanded", "pruned", "judged", "scored", "refine-features", "refined", "chosen"))
+    assert state["mode"] in ("threshold", "expected") and 0 <= state["macro_f05"] <= 1 and isinstance(store.get_state("aliases"), dict)
+    again = Run(store, records, truth, settings)
+    assert {(r["s1_id"], r["rec_id"]) for r in again.chosen().collect()} == ids and again.decision() == state and not again.trained
+    s1, pool = run.sides()
+    assert validate.passes(validate.validate(decide.match_lists(s1, run.chosen()), s1, pool, decide.match_lists(s1, run.candidate_pairs())))
+    assert set(run.diagnosis()) == {"recall", "ceiling", "fates"} and run.errors(5).count() <= 10
+
+
+def test_groups_are_disjoint(spark):
+    run = Run(None, None, None, Settings())
+    s1 = spark.range(3000).select(F.concat(F.lit("S1-"), "id").alias("s1_id"))
+    parts = [{r["s1_id"] for r in run.among(s1, g).collect()} for g in Settings().groups]
+    assert sum(map(len, parts)) == 3000 == len(set().union(*parts)) and all(parts)
+    assert {r["s1_id"] for r in run.fitting(s1).where("hold").collect()} == parts[1]
+
+
+def test_tables_without_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    none = store.stage(store.path("none"), lambda: spark.createDataFrame([], "country string, src long, v double"), ("country", "src"))
+    assert none.count() == 0 and set(none.columns) == {"country", "src", "v"}
 
 
 def test_stream(spark, sf, tmp_path):
