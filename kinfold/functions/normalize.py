@@ -7,6 +7,7 @@ projection inside the JVM. Only the folding of scripts beyond Latin
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping
 
@@ -40,9 +41,18 @@ def fold(text: Column) -> Column:
     return F.when(low.rlike(r"[^\x00-\x7F]"), plain).otherwise(low)
 
 
+def _sound(name: str) -> str:
+    """The sound that a letter's Unicode name stands for: ka is k, er is r, alpha is a, yu is yu."""
+    if len(name) < 3 and name[0] in "iy":
+        return name
+    if name[0] in "aeiou":
+        return name[1] if len(name) == 2 and name[0] == "e" and name[1] not in "aeiou" else name[0]
+    return re.match("[^aeiou]+", name)[0]
+
+
 @F.pandas_udf(T.StringType())
 def fold_any(text: pd.Series) -> pd.Series:
-    """``fold`` for any script: compatibility forms, marks off, then romanised letter by letter from Unicode names."""
+    """``fold`` for any script: compatibility forms, marks off, then romanised letter by letter by the sounds of Unicode names."""
 
     def letter(c: str) -> str:
         if ord(c) < 0x250:
@@ -50,7 +60,7 @@ def fold_any(text: pd.Series) -> pd.Series:
         name = unicodedata.name(c, "")
         for head in (" LETTER SMALL ", " SMALL LETTER ", " LETTER ", " SYLLABLE ", " VOWEL SIGN "):
             if head in name:
-                return name.split(head)[1].split(" ")[0].lower()
+                return _sound(name.split(head)[1].split(" ")[0].lower())
         return str(unicodedata.digit(c)) if c.isdigit() else " " if c.isspace() or not c.isalnum() else ""
 
     def one(s: str) -> str:

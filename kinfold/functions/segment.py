@@ -57,8 +57,7 @@ class Splitter:
                         reached[end] = min(reached.get(end, (math.inf, 0)), (spent + price, at))
             best.append(reached)
         ways = [(layer[len(token)][0], k) for k, layer in enumerate(best) if k > 1 and len(token) in layer]
-        whole = best[1].get(len(token))
-        if not ways or (whole and whole[0] <= min(ways)[0]):
+        if not ways:
             return None
         words, end = [], len(token)
         for layer in best[min(ways)[1] : 0 : -1]:

@@ -2,19 +2,72 @@
 
 ``ratio`` is 200 * LCS / (len(a) + len(b)); the token variants compare sorted
 tokens, and the token-set ratio takes the best of the common tokens and each
-side's rest. Distinct pairs of a batch are compared once. The longest common
-subsequence uses one big integer per string as a bit vector.
+side's rest. Distinct pairs of a batch are compared once, all at a time: the
+longest common subsequence takes one machine word a pair as a bit vector (the
+shorter string; one of more than 64 characters takes a big integer).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+Pairs = list[tuple[str, str]]
+_WORD = 64
+#: Pairs whose bit vectors are stepped together.
+_CHUNK = 1 << 14
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters as rows of numbers, padded by 0, and lengths."""
+    size = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), max(1, size.max(initial=0))), np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out, size
+
+
+def lcs_all(pairs: Pairs) -> np.ndarray:
+    """Lengths of the longest common subsequences."""
+    out = np.zeros(len(pairs), np.int64)
+    ordered = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    small = []
+    for i, (a, b) in enumerate(ordered):
+        if len(a) > _WORD:
+            out[i] = lcs(a, b)
+        elif a:
+            small.append(i)
+    small.sort(key=lambda i: len(ordered[i][1]))  # so that the pairs of a chunk take about as many steps
+    for lo in range(0, len(small), _CHUNK):
+        out[small[lo : lo + _CHUNK]] = _lcs_words([ordered[i] for i in small[lo : lo + _CHUNK]])
+    return out
+
+
+def _lcs_words(pairs: Pairs) -> np.ndarray:
+    """``lcs_all`` of pairs whose first strings have 1 to 64 characters, one bit each."""
+    a, n = _codes([x for x, _ in pairs])
+    b, _ = _codes([y for _, y in pairs])
+    alphabet = np.array(sorted({0, *a.ravel().tolist()}))  # a character beyond it is like 0, and is found nowhere
+    number = np.zeros(max(int(a.max()), int(b.max())) + 1, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    a, b = number[a], number[b]
+    rows = np.arange(len(pairs))
+    places = np.zeros((len(pairs), len(alphabet)), np.uint64)
+    for i in range(a.shape[1]):
+        here = np.flatnonzero(i < n)
+        places[here, a[here, i]] |= np.uint64(1) << np.uint64(i)
+    left = np.full(len(pairs), ~np.uint64(0))
+    for j in range(b.shape[1]):
+        held = left & places[rows, b[:, j]]  # nothing beyond a string's end, where the number is 0
+        left = (left + held) | (left - held)
+    own = ~np.uint64(0) >> (np.uint64(_WORD) - n.astype(np.uint64))
+    return n - np.bitwise_count(left & own).astype(np.int64)
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
@@ -57,19 +110,58 @@ def token_set_ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string against windows of the longer, windows over its ends included."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    if len(a) > len(b):
-        a, b = b, a
-    n = len(a)
-    if a in b:
-        return 100.0
-    best = 0.0
-    for i in range(1 - n, len(b)):
-        window = b[max(0, i) : i + n]
-        if window and (window[-1] in a or window[0] in a):
-            best = max(best, ratio(a, window))
-    return best
+    return float(partial_all([(a, b)])[0])
+
+
+def ratio_all(pairs: Pairs) -> np.ndarray:
+    size = np.array([len(a) + len(b) for a, b in pairs])
+    return np.where(size > 0, 200.0 * lcs_all(pairs) / np.maximum(size, 1), 100.0)
+
+
+def sort_all(pairs: Pairs) -> np.ndarray:
+    return ratio_all([(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) for a, b in pairs])
+
+
+def set_all(pairs: Pairs) -> np.ndarray:
+    """``token_set_ratio`` of all pairs: up to three ratios each."""
+    out, asked, of = np.zeros(len(pairs)), [], []
+    for i, (a, b) in enumerate(pairs):
+        x, y = set(a.split()), set(b.split())
+        common = x & y
+        if not x or not y:
+            continue
+        if common and (x <= y or y <= x):
+            out[i] = 100.0
+            continue
+        base = " ".join(sorted(common))
+        left, right = (" ".join([*([base] if base else []), *sorted(z - common)]) for z in (x, y))
+        three = [(left, right), *([(base, left), (base, right)] if base else [])]
+        asked += three
+        of += [i] * len(three)
+    if asked:
+        np.maximum.at(out, of, ratio_all(asked))
+    return out
+
+
+def partial_all(pairs: Pairs) -> np.ndarray:
+    """``partial_ratio`` of all pairs: every window that begins or ends with a character of the shorter string."""
+    out, asked, of = np.zeros(len(pairs)), [], []
+    for i, (a, b) in enumerate(pairs):
+        if not a or not b:
+            out[i] = 100.0 if a == b else 0.0
+            continue
+        if len(a) > len(b):
+            a, b = b, a
+        if a in b:
+            out[i] = 100.0
+            continue
+        known, n = set(a), len(a)
+        windows = {b[max(0, j) : j + n] for j in range(1 - n, len(b)) if b[max(0, j)] in known or b[min(j + n, len(b)) - 1] in known}
+        asked += [(a, w) for w in windows]
+        of += [i] * len(windows)
+    if asked:
+        np.maximum.at(out, of, ratio_all(asked))
+    return out
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -101,11 +193,23 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * same * (1 - jaro) if jaro > 0.7 else jaro
 
 
-#: Scorers by name.
-SCORERS: dict[str, Callable[[str, str], float]] = {
-    "ratio": ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial": partial_ratio, "jaro_winkler": jaro_winkler,
+def _each(own: Callable[[str, str], float]) -> Callable[[Pairs], np.ndarray]:
+    return lambda pairs: np.array([own(*p) for p in pairs], float)
+
+
+#: Scorers of many pairs, by name.
+SCORERS: dict[str, Callable[[Pairs], np.ndarray]] = {
+    "ratio": ratio_all, "token_sort": sort_all, "token_set": set_all, "partial": partial_all, "jaro_winkler": _each(jaro_winkler),
 }
 
+
+def _scored(scorer: str, x: pd.Series, y: pd.Series) -> np.ndarray:
+    """The scorer on every distinct pair, dealt back to the rows."""
+    number: dict[tuple[str, str], int] = {}
+    rows = [number.setdefault(pair, len(number)) for pair in zip(x, y, strict=True)]
+    return SCORERS[scorer](list(number))[rows] if rows else np.zeros(0)
+
+
 #: Pair features: name, column of both records, scorer.
 PAIR_SCORES = (
     ("name_ratio", "name_lat", "ratio"), ("name_tset", "name_lat", "token_set"), ("name_tsort", "name_lat", "token_sort"), ("name_part", "name_lat", "partial"),
@@ -116,17 +220,10 @@ PAIR_SCORES = (
 
 def score(scorer: str, a: Column, b: Column) -> Column:
     """One scorer of two string columns; null is empty."""
-    own = SCORERS[scorer]
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(x.fillna(""), y.fillna(""), strict=True):
-            if pair not in known:
-                known[pair] = own(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype=float)
+        return pd.Series(_scored(scorer, x.fillna(""), y.fillna("")))
 
     return run(a, b)
 
@@ -138,19 +235,8 @@ def pair_scores(prefix_a: str = "a_", prefix_b: str = "b_", scores=PAIR_SCORES)
 
     @F.pandas_udf(kind)
     def run(*args: pd.Series) -> pd.DataFrame:
-        half = len(columns)
-        left = {c: args[i].fillna("") for i, c in enumerate(columns)}
-        right = {c: args[half + i].fillna("") for i, c in enumerate(columns)}
-        known: dict[tuple, float] = {}
-        out = {}
-        for name, column, scorer in scores:
-            own, values = SCORERS[scorer], []
-            for pair in zip(left[column], right[column], strict=True):
-                key = (scorer, *pair)
-                if key not in known:
-                    known[key] = own(*pair)
-                values.append(known[key])
-            out[name] = values
-        return pd.DataFrame(out, dtype=float)
+        sides = [s.fillna("") for s in args]
+        left, right = dict(zip(columns, sides, strict=False)), dict(zip(columns, sides[len(columns) :], strict=True))
+        return pd.DataFrame({name: _scored(scorer, left[column], right[column]) for name, column, scorer in scores}, dtype=float)
 
     return run(*(F.col(prefix_a + c) for c in columns), *(F.col(prefix_b + c) for c in columns))

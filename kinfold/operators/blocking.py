@@ -25,7 +25,7 @@ RRF_K = 60
 MISSING_RANK = 1e6
 FLAG_GAIN = 0.01
 #: Share of words in common, as a fraction, from which two word sets are similar.
-SHARE = (2, 5)
+SHARE = (1, 5)
 #: Parts that the queries of one key are dealt to.
 SALTS = 8
 

@@ -13,6 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table is often one row group, which one task would read and work on alone; it is dealt to all cores. Larger ones stay as they are."""
+    """A small table in few files is often few row groups, and as few tasks would work on it; it is dealt to all cores. Others stay as they are."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df

@@ -30,6 +30,28 @@ def test_lcs(a, b):
     assert strings.ratio(a, b) == strings.ratio(b, a)
 
 
+def plain_partial(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return max(strings.ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT) | st.tuples(st.text(alphabet="abé日", min_size=50, max_size=140), st.text(alphabet="abé日", max_size=140)), max_size=6))
+def test_scores_of_many_pairs_are_those_of_each(pairs):
+    assert strings.lcs_all(pairs).tolist() == [naive_lcs(a, b) for a, b in pairs]
+    assert strings.ratio_all(pairs).tolist() == [strings.ratio(a, b) for a, b in pairs]
+    assert strings.set_all(pairs).tolist() == [strings.token_set_ratio(a, b) for a, b in pairs]
+    assert strings.sort_all(pairs).tolist() == [strings.token_sort_ratio(a, b) for a, b in pairs]
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXT, TEXT)
+def test_partial_ratio(a, b):
+    assert strings.partial_ratio(a, b) == pytest.approx(plain_partial(a, b))
+
+
 def test_scores_by_hand():
     assert strings.ratio("abcd", "abxd") == 75.0
     assert strings.token_sort_ratio("b a", "a b") == 100.0
@@ -64,7 +86,7 @@ def test_normal_forms_by_hand(spark):
 
 def test_fold_any(spark):
     df = spark.createDataFrame([("Crème BRÛLÉE ß",), ("Ω",), (None,)], "t string")
-    assert [r[0] for r in df.select(n.fold_any("t")).collect()] == ["creme brulee ss", "omega", ""]
+    assert [r[0] for r in df.select(n.fold_any("t")).collect()] == ["creme brulee ss", "o", ""]
 
 
 def test_normal_forms_of_any_script(spark):
@@ -73,9 +95,9 @@ def test_normal_forms_of_any_script(spark):
     df = spark.createDataFrame(rows, "id int, business_name string, business_address string")
     got = {r["id"]: r for r in n.normalize(df, any_script=True).collect()}
     latin = {r["id"]: r for r in n.normalize(df).collect()}
-    assert got[1]["name_core"].split()[0] == "alphabeta"[:5] and got[1]["nums"] == "12" and got[1]["native"] == 1
+    assert got[1]["name_core"].split()[:2] == ["alpha", "beta"] and got[1]["nums"] == "12" and got[1]["native"] == 1
     assert got[2] == latin[2]
-    assert got[3]["name_core"].isascii() and len(got[3]["name_core"].split()) == 2
+    assert got[3]["name_core"].split()[1] == "romashka"
     assert (got[4]["name_core"], got[4]["legal"]) == ("fine acme", "ltd")
     assert got[5]["name_core"].isascii() and got[5]["name_core"].endswith("3")
 
