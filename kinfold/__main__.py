@@ -89,6 +89,8 @@ def main(argv: list[str] | None = None) -> int:
         s1, pool = run.sides()
         report = validate.validate(decide.match_lists(s1, run.chosen()), s1, pool, decide.match_lists(s1, run.candidate_pairs()))
         show(report)
+        if a.out:
+            show(validate.file_rules(spark, f"{a.out}/matching", ("s1_id", "matched_entity_ids")))
         return 0 if validate.passes(report) else 1
     return 0
 

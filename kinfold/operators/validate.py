@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 S1_PREFIX, RECORD_PREFIX = "S1-", r"^S[23]-"
@@ -49,6 +49,26 @@ def validate(results: DataFrame, s1: DataFrame, known: DataFrame | None = None,
     return reduce(DataFrame.unionByName, rules)
 
 
+def file_rules(spark: SparkSession, path: str, header: tuple[str, str]) -> DataFrame:
+    """rule, n, examples of a result file as text: its first line, comma-separated lines, and lines that aren't an id, a tab and a list.
+
+    ``path`` may be a folder of parts, each with the header.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    first = "\t".join(header)
+    rows = lines.where(F.col("line") != first)
+    tabs = F.size(F.split("line", "\t")) - 1
+    comma = (tabs == 0) & F.col("line").contains(",")
+    wrong_header = lines.agg(F.sum((F.col("line") == first).cast("int")).alias("k")).where("coalesce(k, 0) = 0").select(F.lit(first).alias("line"))
+    rules = [
+        _rule(wrong_header, "missing_header", "line"),
+        _rule(rows.where(comma), "comma_separated", "line"),
+        _rule(rows.where((tabs != 1) & ~comma), "malformed_row", "line"),
+        _rule(rows.where((tabs == 1) & F.col("line").rlike(r"\t.*(,,|^,|,$| |\")")), "malformed_list", "line"),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
 def passes(report: DataFrame, warnings: tuple[str, ...] = ("match_not_a_candidate",)) -> bool:
     """Whether all rules hold but for warnings."""
     return report.where((F.col("n") > 0) & ~F.col("rule").isin(*warnings)).isEmpty()

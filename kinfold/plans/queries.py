@@ -375,10 +375,37 @@ def jaro_winkler(spark, sf):
     return x.scored(spark, sf).select(*_PAIR, F.round(strings.score("jaro_winkler", F.col("s1_name_lat"), F.col("rec_name_lat")), 6).alias("name_jw"))
 
 
-@query()
+_LCS = """list_reduce(list_transform(string_split(a, ''), lambda c: list_transform(range(1, length(b) + 1), lambda j: CASE WHEN contains(substr(b, 1, j), c) THEN j - strpos(reverse(substr(b, 1, j)), c) + 1 ELSE 0 END)),
+  lambda prev, last: list_transform(range(1, length(b) + 1), lambda j: greatest(prev[j], CASE WHEN last[j] > 0 THEN coalesce(prev[last[j] - 1], 0) + 1 ELSE 0 END)), list_transform(range(1, length(b) + 1), lambda j: 0::BIGINT))[length(b)]"""
+
+
+def scores_sql(scores) -> str:
+    """CTEs up to ``fuzzy``: ratios, token-sort and token-set ratios of the pairs, from the longest common subsequence of every distinct pair of strings, row by row of its table."""
+    sort = lambda c: f"array_to_string(list_sort({_WORDS_ALL.format(c)}), ' ')"
+    plain = [f"SELECT {_IDS}, '{n}' AS f, s1_{c} AS a, rec_{c} AS b FROM scored" for n, c, k in scores if k == "ratio"]
+    plain += [f"SELECT {_IDS}, '{n}' AS f, {sort(f's1_{c}')} AS a, {sort(f'rec_{c}')} AS b FROM scored" for n, c, k in scores if k == "token_sort"]
+    sets = [f"SELECT {_IDS}, '{n}' AS f, {words_sql(f's1_{c}')} AS u, {words_sql(f'rec_{c}')} AS v FROM scored" for n, c, k in scores if k == "token_set"]
+    none = [f"SELECT {_IDS}, '' AS f, ['']::VARCHAR[] AS u, ['']::VARCHAR[] AS v FROM scored WHERE false"]
+    text = lambda *lists: f"array_to_string(list_concat({', '.join(lists)}), ' ')" if len(lists) > 1 else f"array_to_string({lists[0]}, ' ')"
+    wide = ", ".join(f"round(max(CASE WHEN f = '{n}' THEN r END), 6) AS {n}" for n, _, k in scores if k in ("ratio", "token_sort", "token_set"))
+    return f"""ts AS ({" UNION ALL ".join(sets or none)}),
+tc AS (SELECT {_IDS}, f, list_sort(list_intersect(u, v)) AS c, list_sort(list_filter(u, lambda w: NOT list_contains(v, w))) AS x, list_sort(list_filter(v, lambda w: NOT list_contains(u, w))) AS y FROM ts),
+tk AS (SELECT *, CASE WHEN len(c) + len(x) = 0 OR len(c) + len(y) = 0 THEN 0.0 WHEN len(c) > 0 AND (len(x) = 0 OR len(y) = 0) THEN 100.0 END AS r FROM tc),
+fq AS ({" UNION ALL ".join([*plain, f"SELECT {_IDS}, f, {text('c', 'x')} AS a, {text('c', 'y')} AS b FROM tk WHERE r IS NULL", f"SELECT {_IDS}, f, {text('c')}, {text('c', 'x')} FROM tk WHERE r IS NULL AND len(c) > 0", f"SELECT {_IDS}, f, {text('c')}, {text('c', 'y')} FROM tk WHERE r IS NULL AND len(c) > 0"])}),
+fl AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 100.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 200.0::DOUBLE * ({_LCS}) / (length(a) + length(b)) END AS r FROM (SELECT DISTINCT a, b FROM fq)),
+fa AS (SELECT {_IDS}, f, r FROM fq JOIN fl USING (a, b) UNION ALL SELECT {_IDS}, f, r FROM tk WHERE r IS NOT NULL), fuzzy AS (SELECT {_IDS}, {wide} FROM fa GROUP BY {_IDS})"""
+
+
+_FUZZ = tuple(x for x in strings.PAIR_SCORES if x[2] != "partial")
+
+
+@query(
+    f"""WITH {SCORED_SQL}, {scores_sql(_FUZZ)} SELECT fuzzy.*, round(CASE WHEN s1_name_lat = '' OR rec_name_lat = '' THEN 0.0 ELSE jaro_winkler_similarity(s1_name_lat, rec_name_lat) END, 6) AS name_jw FROM fuzzy JOIN scored USING ({_IDS})"""
+)
 def fuzz_scores(spark, sf):
-    """All edit-based pair features in one Arrow round trip."""
-    return x.scored(spark, sf).withColumn("f", strings.pair_scores("s1_", "rec_")).select(*_PAIR, "f.*")
+    """The edit-based pair features in one Arrow round trip, but for the partial ratios."""
+    out = x.scored(spark, sf).withColumn("f", strings.pair_scores("s1_", "rec_", _FUZZ))
+    return out.select(*_PAIR, *(F.round(f"f.{n}", 6).alias(n) for n, _, _ in _FUZZ))
 
 
 # --- competition -------------------------------------------------------------------------

@@ -58,6 +58,15 @@ def test_f_half(spark):
     assert got == {"a": pytest.approx(0.555556, abs=1e-6), "b": 1.0, "c": 0.0}
 
 
+def test_file_rules(spark, tmp_path):
+    (tmp_path / "good.tsv").write_text("s1_id\tmatched_entity_ids\nS1-1\tS2-1,S3-2\nS1-2\t\n")
+    (tmp_path / "bad.tsv").write_text("S1-1,S2-1\nS1-2\n\nS1-3\ta\tb\nS1-4\tS2-1, S2-3\nS1-5\tS2-1,\n")
+    header = ("s1_id", "matched_entity_ids")
+    rules = lambda f: {r["rule"]: r["n"] for r in validate.file_rules(spark, str(tmp_path / f), header).collect()}
+    assert set(rules("good.tsv").values()) == {0}
+    assert rules("bad.tsv") == {"missing_header": 1, "comma_separated": 1, "malformed_row": 3, "malformed_list": 2}
+
+
 def test_splits_are_disjoint(spark):
     df = sampling.splits(spark.range(2000).withColumn("s", F.col("id").cast("string")), "s", {"fit": 0.2, "hold": 0.3})
     n = {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
