@@ -51,6 +51,8 @@ END = 1
 QUEUES = 256
 #: Weights are whole numbers of about this sum.
 WEIGHT_SUM = 1 << 20
+#: Tokens that are cut at a time, about.
+PART = 1 << 20
 #: Distinct stretches of text whose ids a worker remembers before it starts anew.
 CACHE = 1 << 18
 
@@ -328,13 +330,23 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _pieces(batch, levels, weight, whole, rest, quantum, length)
+            for part in _parts(batch):
+                yield _pieces(part, levels, weight, whole, rest, quantum, length)
 
     placed = tokens.join(starts, ["source", "part"]).select("doc_id", "source", "queue", (F.col("begin") + F.col("at")).alias("at"), "n", "width", "ids")
     return placed.mapInArrow(cut, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold at most PART tokens, or a single row: cutting needs many times a token's bytes."""
+    upto, lo = np.cumsum(batch.column("n").to_numpy()), 0
+    while lo < batch.num_rows:
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + PART, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _pieces(batch: pa.RecordBatch, levels: list[Level], weight: np.ndarray, whole: np.ndarray, rest: np.ndarray, quantum: int, length: int) -> pa.RecordBatch:
     queue, at, n, width = (batch.column(c).to_numpy().astype(np.int64) for c in ("queue", "at", "n", "width"))
     count = (at + n - 1) // quantum - at // quantum + 1
