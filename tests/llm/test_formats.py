@@ -1,7 +1,10 @@
 """Chat formatting, media and packing: exact round trips."""
 
 import hashlib
+import math
+import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,39 @@ def test_chats_of_messy_turns(spark):
     loss = "".join(f"t{i}" for i in range(3000))
     assert (got[4]["n_turns"], got[4]["loss_sha256"]) == (3000, hashlib.sha256(loss.encode()).hexdigest())
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat_format.format_chats(none).count() == 0
+    assert chat_format.read_back(chat_format.format_chats(none)).count() == 0
+
+
+def test_chats_in_small_batches(spark, monkeypatch):
+    """A conversation longer than a batch, and many short ones beside it."""
+    rows = [(c, t, "assistant" if t % 2 else "user", "<|x|>é" * (1 + (c == 3) * 5000)) for c in range(9) for t in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
+    monkeypatch.setattr(chat_format, "BATCH_BYTES", 1000)
+    assert {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chats(df)).collect()} == whole and len(whole) == 9
+    assert whole[3]["loss_sha256"] == hashlib.sha256(("<|x|>é" * 50010).encode()).hexdigest()
+    monkeypatch.setattr(chat_format, "MOST_BYTES", 5000)
+    with pytest.raises(Exception, match="conversation 3 has more"):
+        chat_format.format_chats(df).count()
+
+
+def plain_png(payload):
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+    head = struct.pack(">II5B", 576, len(payload) // 576, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines, media.LEVEL)) + part(b"IEND", b"")
+
+
+def test_media_of_nothing_and_of_long_texts(spark):
+    none = media.store(spark.createDataFrame([], "doc_id long, text string"))
+    assert media.read_back(media.metadata(none)).count() == 0 and media.catalogue(none).count() == 0
+    long = "x" * 3_000_000 + "é"
+    df = spark.createDataFrame([(1, long), (2, long), (None, None)], "doc_id long, text string").withColumns({"digest": F.lit("own"), "width": F.lit(1)})
+    got = {r["doc_id"]: r for r in media.read_back(media.metadata(media.store(df))).collect()}
+    assert got[1]["n_bytes"] == 3_000_002 and got[1]["payload_sha256"] == got[2]["payload_sha256"] and got[1]["feature"] == got[2]["feature"]
+    assert got[None]["payload_bytes"] == 576
+    with pytest.raises(ValueError, match="called like results"):
+        media.metadata(media.metadata(media.store(df)))
 
 
 def test_media_round_trip(spark):
@@ -56,6 +91,14 @@ def test_media_round_trip(spark):
         payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
         r = by[i]
         assert (r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stored = plain_png(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        value = [payload.count(bytes([b])) for b in range(256)]
+        mean = sum(payload) / len(payload)
+        spread = (sum(n * (b - mean) ** 2 for b, n in enumerate(value)) / len(payload)) ** 0.5
+        entropy = -sum(n / len(payload) * math.log2(n / len(payload)) for n in value if n)
+        told = {k: float(v) for k, v in (x.split("=") for x in r["feature"].split(";"))}
+        assert told == pytest.approx({"mean": mean, "std": spread, "entropy": abs(entropy), "distinct": sum(map(bool, value))}, abs=6e-4)
     once = media.catalogue(index)
     assert once.count() == len({r["payload_sha256"] for r in got}) and once.agg(F.sum("n_refs")).first()[0] == len(got)
     with pytest.raises(ValueError):
@@ -109,6 +152,25 @@ def test_places_are_a_weighted_order():
         assert (abs(n * weight / 6 - served) <= 1).all()
 
 
+def brute_places(rows, quantum=256):
+    """The source of every token in order, by deficits one quantum at a time: (source, part, at, n) of documents."""
+    total = {}
+    for source, *_, n in rows:
+        total[source] = total.get(source, 0) + n
+    queues = sorted(total, key=lambda s: (-total[s], s))
+    weight = packing.weights_of(np.array([total[q] for q in queues])).tolist()
+    whole = [total[q] // quantum for q in queues]
+    served, out = [0] * len(queues), []
+    for _ in range(sum(whole)):
+        # the deficit of a queue reaches half a quantum at (2 served + 1) / (2 weight)
+        q = min((Fraction(2 * served[i] + 1, weight[i]), i) for i in range(len(queues)) if served[i] < whole[i])[1]
+        out += [queues[q]] * quantum
+        served[q] += 1
+    for q, n in zip(queues, whole, strict=True):
+        out += [q] * (total[q] - n * quantum)
+    return out
+
+
 def check_packing(pieces, ids):
     rows = pieces.collect()
     by_doc, by_sequence = {}, {}

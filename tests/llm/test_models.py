@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+import zstandard
 
-from kinfold.llm import language, quality, queries, toxicity
+from kinfold.llm import labelled, language, quality, queries, toxicity
 from tests.llm.helpers import held_out, messy
 
 WIDE = "/root/testdata/sf0.01"
@@ -53,16 +54,64 @@ def labels(spark):
 
 def test_classifiers_on_odd_rows(spark):
     df, y = messy(spark), labels(spark)
-    for out in (quality.score_quality(df, y), toxicity.score_toxicity(df, y)):
+    for out, names in ((quality.score_quality(df, y), ["difference", "quality_score", "quality_predicted"]), (toxicity.score_toxicity(df, y), ["toxicity_score", "toxicity_predicted"])):
+        assert out.columns == [*df.columns, *names]
         rows = out.collect()
-        assert len(rows) == df.count() and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows)
-        same = {r["score"] for r in rows if r["doc_id"] == 9}
-        assert len(same) == 1
+        assert sorted(map(str, out.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+        assert all(0 <= r[names[-2]] <= 1 and r[names[-1]] in (0, 1) for r in rows)
+        for texts in ({r[names[-2]] for r in rows if r["doc_id"] == 9}, {r[names[-2]] for r in rows if not (r["text"] or "").strip()}):
+            assert len(texts) == 1 or names[0] == "difference"  # white space has a size
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {r["score"] for r in quality.score_quality(df, none).collect()} == {0.5}
-    assert {r["score"] for r in toxicity.score_toxicity(df, none).collect()} == {0.0}
-    assert quality.keep_good(df, y).columns == df.columns
-    assert quality.score_quality(df.limit(0), y).count() == 0
+    assert {r["quality_score"] for r in quality.score_quality(df, none).collect()} == {0.5}
+    assert {r["toxicity_score"] for r in toxicity.score_toxicity(df, none).collect()} == {0.0}
+    assert quality.score_quality(df.limit(0), y).count() == toxicity.score_toxicity(df.limit(0), y).count() == 0
+
+
+def test_keep_good_keeps_rows_as_they_are(spark):
+    df, y = messy(spark), labels(spark)
+    kept = quality.keep_good(df, y)
+    want = quality.score_quality(df, y).where("quality_predicted = 1").select(*df.columns)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want.collect()))
+    assert quality.keep_good(df.limit(0), y).count() == 0
+
+
+def test_quality_against_plain_compression(spark):
+    """Every text's difference by zstandard alone, block by block."""
+    df, y = messy(spark), labels(spark)
+    model = quality.fit(labelled.sample(df, y, "quality", "doc_id", "text"), labelled.counts(y, "quality", "doc_id"))
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in quality.score_quality(df, y).collect():
+        raw = (r["text"] or "").encode()
+        good, bad = (sum(len(p.compress(raw[a : a + 1024])) for a in range(0, len(raw), 1024)) for p in packers)
+        sure = len(raw) / (len(raw) + quality.HALF_SURE)
+        x = np.array([[sure * (bad - good) / len(raw), sure * min(good, bad) / len(raw) + (1 - sure) / 2]]) if raw else np.array([[0, 0.5]])
+        assert (r["difference"], r["quality_score"]) == pytest.approx((x[0, 0], float(model.curve(x)[0])), abs=1e-9)
+
+
+def test_long_labelled_texts_are_not_fetched(spark):
+    df = spark.createDataFrame([(5, "a" * 50), (2, "b" * 9), (9, "c"), (3, None)], "doc_id long, text string")
+    rows = labelled.sample(df, labels(spark), "quality", "doc_id", "text", text_bytes=20)
+    assert sorted(t for _, t in rows) == ["b" * 9, "c"]
+
+
+def test_three_hundred_languages(spark):
+    """Each has its own letters; all are learned, whatever their names and sizes."""
+    word = lambda k, i: "".join(chr(0x4E00 + 40 * k + (i * j) % 37) for j in range(1, 5))
+    rows = [(1000 * k + i, " ".join(word(k, i + j) for j in range(8)), f"lang{k:03}") for k in range(300) for i in range(12 if k < 299 else 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(df, language.learn(df, per_language=5)).join(df.select("doc_id", "lang"), "doc_id")
+    assert found.where("lang_pred = lang").count() == len(rows)
+    names, likes = toxicity.language_words([(0, t, g) for _, t, g in rows], [np.array([k + 1]) for k in range(300) for _ in range(12 if k < 299 else 40)], 301)
+    assert len(names) == 300 and (likes[1:].argmax(1) == np.arange(300)).all()
+    model = toxicity.Model(np.arange(300), [], np.zeros(0), np.zeros(0), 0.0, names, likes, np.zeros((301, 3)))
+    assert (model.likelihoods(np.arange(1, 301), np.arange(301)).argmax(1) == np.arange(300)).all()
+
+
+def test_repeated_rows_fill_no_profile(spark):
+    df = spark.createDataFrame([(1, "aaa bbb", "x")] * 500 + [(i, f"der hund {i}", "y") for i in range(9)], "doc_id long, text string, lang string")
+    p = language.learn(df, per_language=3)
+    assert set(p.names) <= {"x", "y"} and "y" in p.names
 
 
 def test_gradient_of_the_network():
