@@ -60,8 +60,8 @@ SHINGLE, PERCENT = 5, 80
 BATCH_SHINGLES, BATCH_DOCS = 1 << 21, (1 << 16) - 1
 #: Shingles of a bucket, about.
 BUCKET_SHINGLES = 1 << 20
-#: Repeated shingles of a block of a cluster, about.
-BLOCK_SHINGLES = 1 << 18
+#: Repeated shingles of a block of a cluster, about, and as how many a class counts at least.
+BLOCK_SHINGLES, LEAST_SHINGLES = 1 << 18, 1 << 9
 #: Stands for the document's number where several sets of a batch hold a hash.
 _SEVERAL = (1 << 16) - 1
 
@@ -386,7 +386,7 @@ def _block(of: str, blocks: str, seed: int):
 def _linked(alive: DataFrame, clusters: DataFrame, percent: int, count: bool) -> tuple[DataFrame, DataFrame | None]:
     """(node, root) of the linked classes, and with ``count`` (node, links)."""
     spark = alive.sparkSession
-    sizes = clusters.join(alive.select("node", "size"), "node").groupBy("root").agg(F.sum("size").alias("m"))
+    sizes = clusters.join(alive.select("node", "size"), "node").groupBy("root").agg(F.sum(F.greatest("size", F.lit(LEAST_SHINGLES))).alias("m"))
     total = alive.agg(F.sum("size")).first()[0] or 0
     large = materialize(sizes.where(F.col("m") > 2 * BLOCK_SHINGLES).select("root", F.ceil(F.col("m") / BLOCK_SHINGLES).cast("int").alias("blocks")), "large-clusters")
     members = clusters.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(alive, "node")
