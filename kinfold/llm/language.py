@@ -160,9 +160,13 @@ def learn(
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
     own = own.where(F.col("lang").isNotNull() & (F.octet_length("text") <= text_bytes) & ~held_out("id", MOD, REST)).withColumn("lot", F.xxhash64("id", "text"))
-    order = Window.partitionBy("lang").orderBy("lot")  # Spark keeps the first of each task before it shuffles
-    last = own.select("lang", "lot").distinct().select("lang", "lot", F.row_number().over(order).alias("k")).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("lot").alias("last"))
-    few = own.join(materialize(last, "language-lots"), "lang").where(F.col("lot") <= F.col("last")).select("lang", "lot", "text").dropDuplicates(["lang", "lot"])
+    # about four times as many as are wanted go on from a large language, so that no group grows with it
+    size = materialize(own.groupBy("lang").agg(F.approx_count_distinct("lot").alias("n")), "languages")
+    near = own.select("lang", "lot").join(size, "lang").where(F.pmod("lot", F.lit(1 << 30)) < F.lit(4.0 * per_language * (1 << 30)) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("place")
+    near = near.select("lang", F.pmod("lot", F.lit(1 << 30)).alias("place")).distinct()
+    last = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("place").alias("last"))
+    few = own.join(materialize(last, "language-lots"), "lang").where(F.pmod("lot", F.lit(1 << 30)) <= F.col("last")).select("lang", "lot", "text").dropDuplicates(["lang", "lot"])
 
     def make(table: pa.Table) -> pa.Table:
         table = table.sort_by([("lot", "ascending"), ("text", "ascending")])
