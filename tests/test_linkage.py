@@ -1,5 +1,7 @@
 """Invariants of the operators, sources, the whole run and streaming."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,43 @@ def test_dense_top_k_in_blocks(spark, sf):
     assert one == many and len(one) == 4 * q.count()
 
 
+def _texts(n, src):
+    """Rows that nearly all share frequent words, with copies, empty texts and rows without a country."""
+    rng = random.Random(src)
+    draw = lambda k: " ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(rng.randint(0, k)))
+    rows = [(rng.choice(["x", "x", "y", None]), src, f"S{src}-{i}", draw(6), "the of to " + draw(9) if i % 7 else draw(3)) for i in range(n)]
+    return rows + [(r[0], r[1], f"{r[2]}-copy", *r[3:]) for r in rows[:40]]
+
+
+def test_nearest_is_exact_in_any_blocks(spark):
+    schema = "country string, src long, {} string, name_core string, addr_norm string"
+    s1, pool = _texts(150, 1), _texts(200, 2) + _texts(100, 3)
+    asked, held = spark.createDataFrame(s1, schema.format("s1_id")).drop("src"), spark.createDataFrame(pool, schema.format("rec_id"))
+    words = lambda t: {w for w in t.split(" ") if w}
+    by_query, by_record = {}, {}
+    for country, _, i, *mine in s1:
+        for other, src, j, *theirs in pool:
+            if country is None or country != other:
+                continue
+            both = [(len(words(a) & words(b)), len(words(a) | words(b))) for a, b in zip(mine, theirs)]
+            if any(5 * c >= u and c for c, u in both):
+                prob = round(sum(0.5 * (c / u if u else 0.0) for c, u in both), 6)
+                by_query.setdefault((i, src), []).append((-prob, j))
+                by_record.setdefault(j, []).append((-prob, i))
+    want = {(i, j, -p, False) for (i, _), found in by_query.items() for p, j in sorted(found)[:5]}
+    want |= {(i, j, -p, True) for j, found in by_record.items() for p, i in sorted(found)[:1] if -p >= 0.5}
+    for rows in ((8192, 32768), (37, 23)):
+        got = blocking.nearest(asked, held, ["name_core", "addr_norm"], 5, 0.5, query_rows=rows[0], pool_rows=rows[1]).collect()
+        assert len(got) == len(want) and {(r["s1_id"], r["rec_id"], r["prob"], r["owner"]) for r in got} == want
+
+
+def test_no_pair_of_texts_becomes_a_row(spark):
+    n = 1500
+    both = [spark.range(n).select(F.lit("x").alias("country"), F.lit(s).cast("long").alias("src"), F.concat(F.lit(f"S{s}-"), "id").alias(i), F.concat(F.lit("n"), "id").alias("name_core"), F.lit("to a of").alias("addr_norm")) for s, i in ((1, "s1_id"), (2, "rec_id"))]
+    out = blocking.nearest(both[0].drop("src"), both[1], ["name_core", "addr_norm"], 25, 0.5)
+    assert out.where("NOT owner").count() == 25 * n and out.where("owner").count() == n
+
+
 def test_f_half(spark):
     s1 = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "c")], "country string, s1_id string")
     chosen = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "9")], "s1_id string, rec_id string")
