@@ -53,6 +53,8 @@ QUEUES = 256
 WEIGHT_SUM = 1 << 20
 #: Tokens that are cut at a time, about.
 PART = 1 << 20
+#: Bytes of text that are encoded at a time, about: encoding needs many times a text's bytes.
+SLICE = 1 << 20
 #: Distinct stretches of text whose ids a worker remembers before it starts anew.
 CACHE = 1 << 18
 
@@ -188,6 +190,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Free what this worker's encoders remember: a worker that tokenised goes on to other work."""
+    for own in _encoders.values():
+        own.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str, end: int = END) -> DataFrame:
     """doc_id, source, part (task), at (token number in the task's stream of the source), n and ids (little-endian unsigned 16 or 32 bits)."""
 
@@ -198,7 +207,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocab
         for batch in batches:
             source = batch.column("source").to_pylist()
             texts = W.as_strings(batch.column("text"))
-            for lo, rows in W.slices(texts, 1 << 22):
+            for lo, rows in W.slices(texts, SLICE):
                 ids, at = own.encode(rows)
                 n = np.diff(at)
                 out = np.full(len(ids) + len(n), end, kind)
@@ -329,6 +338,7 @@ def pack(
     rest = np.cumsum(total - whole * quantum) - (total - whole * quantum) + whole.sum() * quantum
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in _parts(batch):
                 yield _pieces(part, levels, weight, whole, rest, quantum, length)

@@ -113,6 +113,17 @@ def tokenizer():
 ODD = st.text(alphabet=st.sampled_from("ab'sLl 1\n\t  　é日\x85\x1c.!"), max_size=40)
 
 
+def test_encoders_forget_and_encode_the_same():
+    own, texts = packing.encoder(packing.default_vocabulary()), pa.array([f"word{i} and{i * 7}" for i in range(30_000)], pa.large_string())
+    ids, at = own.encode(texts)
+    assert len(own.number) > 30_000 and len(own.ids) > 1 << 16
+    packing.forget()
+    assert not own.number and len(own.ids) == 1 << 16
+    again, again_at = own.encode(texts)
+    assert (again == ids).all() and (again_at == at).all()
+    packing.forget()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ODD, min_size=1, max_size=5))
 def test_ids_equal_the_tokenizer(tokenizer, texts):
