@@ -87,6 +87,7 @@ def test_no_pair_of_texts_becomes_a_row(spark):
     both = [spark.range(n).select(F.lit("x").alias("country"), F.lit(s).cast("long").alias("src"), F.concat(F.lit(f"S{s}-"), "id").alias(i), F.concat(F.lit("n"), "id").alias("name_core"), F.lit("to a of").alias("addr_norm")) for s, i in ((1, "s1_id"), (2, "rec_id"))]
     out = blocking.nearest(both[0].drop("src"), both[1], ["name_core", "addr_norm"], 25, 0.5)
     assert out.where("NOT owner").count() == 25 * n and out.where("owner").count() == n
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
 
 
 def test_f_half(spark):
