@@ -1,15 +1,19 @@
+import hashlib
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinfold.functions import normalize as n
-from kinfold.functions import strings
+from kinfold.functions import strings, words
 from kinfold.functions.segment import Splitter
 from kinfold.operators.decide import expected_scores
+from kinfold.plans import fixtures
 
 TEXT = st.text(alphabet="abc ", max_size=12)
 
@@ -121,3 +125,28 @@ def test_expected_scores_against_enumeration(p):
             f = float(total == 0) if k == 0 else 1.25 * sum(bits[:k]) / (0.25 * total + k)
             want[k] += chance * f
     assert expected_scores(p, miss) == pytest.approx(want, abs=1e-9)
+
+
+def _drawn(text):
+    found = re.findall("[a-z0-9]+", text)
+    longest = sorted(f"{str(99_999 - len(w))[:5]:0>5}{w}" for w in set(found))[:6]
+    dealt = sorted(hashlib.md5(w.encode()).hexdigest() + w for w in set(found))[:8]
+    return {"words": len(found), "longest": " ".join(w[5:] for w in longest), "dealt": " ".join(w[32:] for w in dealt)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 -é", max_size=40), max_size=6))
+def test_drawn_words(texts):
+    both = pa.array(["b1 a", *texts])
+    assert words.draw(both, 6, 8).to_pylist() == [_drawn(t) for t in both.to_pylist()]
+    assert words.draw(both.slice(1), 6, 8).to_pylist() == [_drawn(t) for t in texts]
+
+
+def test_drawn_words_of_any_length():
+    odd = ["", None, "x" * 100_001 + " " + "y" * 100_000 + " a " + "z" * 99_999, "-", "12 12"]
+    assert words.draw(pa.array(odd), 6, 8).to_pylist() == [_drawn(t or "") for t in odd]
+
+
+def test_records_are_drawn_in_batches(spark, sf):
+    plan = fixtures._records(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
