@@ -150,3 +150,23 @@ def test_drawn_words_of_any_length():
 def test_records_are_drawn_in_batches(spark, sf):
     plan = fixtures._records(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+LONG = st.text(alphabet="abé", max_size=150)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(LONG, LONG), max_size=5), LONG)
+def test_bit_vectors_of_several_words(pairs, c):
+    pairs = [*pairs, *((a, a + c) for a, _ in pairs), *((b + "ab" * 40, c * 2) for _, b in pairs)]
+    assert strings.lcs_all(pairs).tolist() == [naive_lcs(*p) for p in pairs]
+    assert strings.jaro_all(pairs).tolist() == [strings.jaro_winkler(*p) for p in pairs]
+
+
+def test_only_very_long_strings_are_compared_alone(monkeypatch):
+    alone = []
+    monkeypatch.setattr(strings, "lcs", lambda a, b: alone.append(len(a)) or 7)
+    monkeypatch.setattr(strings, "jaro_winkler", lambda a, b: alone.append(len(b)) or 0.5)
+    pairs = [("ab" * 50, "ba" * 200), ("a" * 512, "ba" * 256), ("ab" * 300, "b" * 513)]
+    assert strings.lcs_all(pairs).tolist() == [100, 256, 7] and strings.jaro_all(pairs)[2] == 0.5
+    assert alone == [513, 513]
