@@ -170,3 +170,28 @@ def test_only_very_long_strings_are_compared_alone(monkeypatch):
     pairs = [("ab" * 50, "ba" * 200), ("a" * 512, "ba" * 256), ("ab" * 300, "b" * 513)]
     assert strings.lcs_all(pairs).tolist() == [100, 256, 7] and strings.jaro_all(pairs)[2] == 0.5
     assert alone == [513, 513]
+
+
+def test_texts_are_folded_in_batches(spark):
+    """As ``normalize.fold`` does in the JVM: accents, ligatures, characters that become shorter, and ends of texts."""
+    rng = np.random.default_rng(3)
+    odd = [chr(c) for c in range(0x80, 0x250)] + list("AZaz09 -İKÅẞⱾℨ中😀́")
+    texts = [None, "", "É", "ßæ", "K", "Straße ÆON Œuvre Łódź Ångström ẞX xİy", *("".join(rng.choice(odd, 40)) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["w"].asDict() for r in df.select("i", words.drawn_words(F.col("t"), 6, 8).alias("w")).orderBy("i").collect()]
+    plain = [r[0] for r in df.orderBy("i").select(n.fold(F.col("t"))).collect()]
+    assert got == [_drawn(t) for t in plain]
+    assert words.draw(pa.array(texts).slice(3), 6, 8, fold=True).to_pylist() == got[3:]
+
+
+def test_digests_of_many_words():
+    names = [b"x" * i for i in range(130)] + [str(i).encode() for i in range(9000)]
+    want = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in names), ">u8").reshape(-1, 2)
+    assert (words._digests(pa.array(names, pa.large_binary())) == want).all()
+
+
+def test_long_batches_are_cut_in_parts(monkeypatch):
+    texts = pa.array(["Añb c", None, "x" * 50 + " 1", "", "É É a", "b-b"])
+    want = words.draw(texts, 6, 8, fold=True).to_pylist()
+    monkeypatch.setattr(words, "_PART", 7)
+    assert words.draw(texts, 6, 8, fold=True).to_pylist() == want

@@ -204,3 +204,35 @@ def test_pairs_of_blocks_are_tasks_of_their_own(spark):
     out = blocking.nearest(spark.createDataFrame(_texts(50, 1), schema.format("s1_id")).drop("src"), held, ["name_core", "addr_norm"], 5, 0.5)
     parts = blocking._PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count(f", {parts}") == 2
+
+
+def test_records_of_a_block_in_parts():
+    """Pairs that can't be among the best any more are left out early, but no other; owners neither."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghij") if rng.random() < 0.7 else str(rng.randrange(40))
+    text = lambda most: " ".join(word() for _ in range(rng.randrange(most)))
+    asked, held = ([(text(5), text(8)) for _ in range(m)] for m in (90, 400))
+    found = {}
+    for i, mine in enumerate(asked):
+        for j, theirs in enumerate(held):
+            both = [(len({*a.split()} & {*b.split()}), len({*a.split()} | {*b.split()})) for a, b in zip(mine, theirs)]
+            if any(5 * c >= u and c for c, u in both):
+                found[i, j] = round(sum(0.5 * (c / u if u else 0.0) for c, u in both), 6)
+    want = {(i, j, p, False) for a in range(90) for i, j, p in sorted(((i, j, p) for (i, j), p in found.items() if i == a), key=lambda r: (-r[2], r[1]))[:4]}
+    for b in range(400):
+        want |= {(i, j, p, True) for i, j, p in sorted(((i, j, p) for (i, j), p in found.items() if j == b and p >= 0.5), key=lambda r: (-r[2], r[0]))[:1]}
+    sides = [[pa.chunked_array([[r[c] for r in rows]]) for c in (0, 1)] for rows in (asked, held)]
+    for at_once in (1, 13, 100, 1000):
+        out = blocking._nearest(*sides, 90, 400, 4, 0.5, (1, 5), at_once)
+        assert len(out[0]) == len(want) and {*zip(*(c.tolist() for c in out))} == want
+
+
+def test_sizes_of_blocks_move_no_rows(spark):
+    """Rows aren't gathered by country and source before they are dealt to blocks."""
+    schema = "country string, src long, {} string, name_core string, addr_norm string"
+    asked, held = spark.createDataFrame(_texts(50, 1), schema.format("s1_id")).drop("src"), spark.createDataFrame(_texts(50, 2), schema.format("rec_id"))
+    q, d = blocking._dealt(asked.withColumn("src", F.lit(2).cast("long")), held, ["country", "src"], "s1_id", "rec_id", 8192, 32768)
+    for side in (q, d):
+        assert side._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
