@@ -195,3 +195,24 @@ def test_long_batches_are_cut_in_parts(monkeypatch):
     want = words.draw(texts, 6, 8, fold=True).to_pylist()
     monkeypatch.setattr(words, "_PART", 7)
     assert words.draw(texts, 6, 8, fold=True).to_pylist() == want
+
+
+def test_windows_are_not_compared_one_by_one(monkeypatch):
+    """All windows of a pair come from one comparison, whatever the lengths in a batch."""
+    rng = np.random.default_rng(9)
+    text = lambda most, letters: "".join(rng.choice(list(letters), rng.integers(0, most)))
+    pairs = [("", ""), ("", "a"), ("ab", "ab"), ("xaby", "ab"), ("a", "b" * 300), ("ab" * 150, "ba" * 20 + "c")]
+    pairs += [(text(14, "ab c"), text(16, "abd \0")) for _ in range(150)] + [(text(40, "abcdé "), text(70, "abcdez ")) for _ in range(12)]
+
+    def plain(a, b):
+        a, b = sorted((a, b), key=len)
+        found = {b[max(0, j) : j + len(a)] for j in range(1 - len(a), len(b))} if a else set()
+        return max((200.0 * naive_lcs(a, w) / (len(a) + len(w)) for w in found), default=0.0 if b else 100.0)
+
+    def never(pairs):
+        raise AssertionError("a window by itself")
+
+    monkeypatch.setattr(strings, "lcs_all", never)
+    for most in (1 << 16, 64):
+        monkeypatch.setattr(strings, "_STRANDS", most)
+        assert strings.partial_all(pairs).tolist() == [plain(*p) for p in pairs]
