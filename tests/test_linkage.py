@@ -249,3 +249,13 @@ def test_pairs_for_models_are_made_once(spark, sf):
     for r in x.scored(spark, sf).join(pairs.drop("prob"), ["country", "src", "s1_id", "rec_id"]).collect():
         assert (r["tok"], r["adr"]) == (len(words(r["s1_name_core"]) & words(r["rec_name_core"])), len(words(r["s1_addr_norm"]) & words(r["rec_addr_norm"])))
         assert r["key_eq"] == (r["s1_name_key"] == r["rec_name_key"])
+
+
+def test_words_of_queries_are_cut_once_for_all_parts(monkeypatch):
+    import pyarrow as pa
+
+    seen, cut = [], blocking._words_of
+    monkeypatch.setattr(blocking, "_words_of", lambda texts: seen.append(len(texts)) or cut(texts))
+    asked, held = (pa.chunked_array([[f"a b{i}" for i in range(n)]]) for n in (3, 100))
+    out = blocking._nearest([asked], [held], 3, 100, 4, 0.5, (1, 5), 16)
+    assert len(out[0]) >= 12 and seen.count(3) == 1 and sum(seen) == 103
