@@ -1,7 +1,9 @@
 """Competition: how a pair stands against the others of its record and of its query.
 
 Each function adds columns by whole-partition windows. A window's partition is
-one record's or one query's candidates, which blocking has bounded.
+one record's or one query's candidates, which blocking has bounded. Ids come
+first in it: rows are sorted by the first bytes of the first column, which for
+countries are few.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def similarity(columns: list[str]) -> Column:
 
 def retrieval(pairs: DataFrame, sim: str = "sim") -> DataFrame:
     """rec_best, rec_n, rec_margin (best: lead over the next; others: distance to the best), s1_rank, s1_best, s1_gap."""
-    rec, s1 = Window.partitionBy("country", "src", "rec_id"), Window.partitionBy("country", "src", "s1_id")
+    rec, s1 = Window.partitionBy("rec_id", "src", "country"), Window.partitionBy("s1_id", "src", "country")
     v = F.col(sim)
     first = F.row_number().over(rec.orderBy(v.desc(), "s1_id")) == 1
     return pairs.withColumns(
@@ -51,7 +53,7 @@ def retrieval(pairs: DataFrame, sim: str = "sim") -> DataFrame:
 def stage_two(pairs: DataFrame, prob: str = "prob") -> DataFrame:
     """p_* by query and source, pa_* by query, d_* by record: best, gap, sum, count of strong ones, rank and size."""
     p = F.col(prob)
-    one, both, rec = Window.partitionBy("country", "src", "s1_id"), Window.partitionBy("country", "s1_id"), Window.partitionBy("country", "src", "rec_id")
+    one, both, rec = Window.partitionBy("s1_id", "src", "country"), Window.partitionBy("s1_id", "country"), Window.partitionBy("rec_id", "src", "country")
     out = {"p_strong": (p >= STRONG).cast("long"), "p_rank": F.row_number().over(one.orderBy(p.desc(), "rec_id")).cast("long")}
     for name, w in (("p", one), ("pa", both), ("d", rec)):
         out[f"{name}_best"] = F.max(p).over(w)
@@ -66,7 +68,7 @@ def stage_two(pairs: DataFrame, prob: str = "prob") -> DataFrame:
 def stage_two_short(pairs: DataFrame, prob: str = "prob") -> DataFrame:
     """The shorter variant: ranks and sums by query and source, counts above one half, and the record's lead."""
     p = F.col(prob)
-    one, rec = Window.partitionBy("country", "src", "s1_id"), Window.partitionBy("country", "src", "rec_id")
+    one, rec = Window.partitionBy("s1_id", "src", "country"), Window.partitionBy("rec_id", "src", "country")
     lead = F.row_number().over(rec.orderBy(p.desc(), "s1_id")) == 1
     return pairs.withColumns(
         {
@@ -80,7 +82,7 @@ def stage_two_short(pairs: DataFrame, prob: str = "prob") -> DataFrame:
 
 def other_source(pairs: DataFrame, prob: str = "prob") -> DataFrame:
     """oth_best and oth_cnt: the best probability and the number of strong candidates of the same query in the other source."""
-    one, both = Window.partitionBy("country", "src", "s1_id"), Window.partitionBy("country", "s1_id")
+    one, both = Window.partitionBy("s1_id", "src", "country"), Window.partitionBy("s1_id", "country")
     p = F.col(prob)
     best = [F.max(F.when(F.col("src") == s, p)).over(both) for s in (2, 3)]
     other = F.when(F.col("src") == 2, best[1]).otherwise(best[0])
@@ -90,7 +92,7 @@ def other_source(pairs: DataFrame, prob: str = "prob") -> DataFrame:
 def across_sources(pairs: DataFrame, prob: str = "prob") -> DataFrame:
     """xs_* by query over both sources, r_* by record over all queries."""
     p = F.col(prob)
-    s1, rec = Window.partitionBy("country", "s1_id"), Window.partitionBy("country", "src", "rec_id")
+    s1, rec = Window.partitionBy("s1_id", "country"), Window.partitionBy("rec_id", "src", "country")
     best = [F.max(F.when(F.col("src") == s, p)).over(s1) for s in (2, 3)]
     return pairs.withColumns(
         {

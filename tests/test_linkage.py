@@ -259,3 +259,12 @@ def test_words_of_queries_are_cut_once_for_all_parts(monkeypatch):
     asked, held = (pa.chunked_array([[f"a b{i}" for i in range(n)]]) for n in (3, 100))
     out = blocking._nearest([asked], [held], 3, 100, 4, 0.5, (1, 5), 16)
     assert len(out[0]) >= 12 and seen.count(3) == 1 and sum(seen) == 103
+
+
+def test_competition_sorts_by_ids_first(spark):
+    """The first bytes of a country are those of most rows."""
+    from kinfold.operators import compete
+
+    pairs = spark.createDataFrame([("x", 2, "S1-1", "S2-1", 0.5)], "country string, src long, s1_id string, rec_id string, prob double")
+    plan = compete.across_sources(pairs).select("xs_other", "r_other")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(s1_id#" in plan and "windowspecdefinition(rec_id#" in plan and "windowspecdefinition(country#" not in plan
