@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,41 @@ def test_repartitioning_changes_nothing(pairs):
     assert a == b
 
 
+def _expected(p, miss):
+    """Expected F0.5 of every prefix, by all numbers of matches among the first k and among the others."""
+
+    def chances(part):
+        out = np.ones(1)
+        for q in part:
+            out = np.convolve(out, [1 - q, q])
+        return out
+
+    found = [chances([*p, miss])[0]]
+    for k in range(1, len(p) + 1):
+        head, rest = chances(p[:k]), chances([*p[k:], miss])
+        found.append(sum(a * b * 1.25 * h / (0.25 * (h + m) + k) for h, a in enumerate(head) for m, b in enumerate(rest)))
+    return np.round(found, 9)
+
+
+def test_expected_selection_of_long_lists(spark):
+    """A query's records all count: those that are taken, and those that are missed."""
+    lists = {"S1-a": [0.9] * 40, "S1-b": [0.9] * 3 + [0.28] * 30, "S1-c": [0.01] * 25, "S1-d": [0.8], "S1-e": [i / 20 for i in range(20, 0, -1)]}
+    rows = [("x", 2 + i % 2, q, f"{q}-{i:02d}", p) for q, ps in lists.items() for i, p in enumerate(ps)]
+    pairs = spark.createDataFrame(rows, "country string, src int, s1_id string, rec_id string, prob double").repartition(3)
+    for most in (None, 11):
+        got = decide.expected_selection(pairs) if most is None else decide.select(pairs, "expected", cap=most)
+        taken, value = {q: [] for q in lists}, {}
+        for r in got.collect():
+            taken[r["s1_id"]].append(r["prob"])
+            value[r["s1_id"]] = r["expected_f"]
+        for q, ps in lists.items():
+            scores = _expected(ps, decide.MISS_RATE)[: None if most is None else most + 1]
+            k = int(scores.argmax())
+            assert sorted(taken[q], reverse=True) == ps[:k]
+            assert k == 0 or value[q] == pytest.approx(scores[k], abs=1e-6)
+        assert len(taken["S1-a"]) == (40 if most is None else most)
+
+
 def test_matches_are_candidates(spark, sf, pairs):
     s1, pool = x.sides(x.normed(spark, sf))
     chosen = decide.select(pairs, "expected")
