@@ -175,7 +175,15 @@ def bagged(df: DataFrame, models: list[Trees], name: str = "prob") -> DataFrame:
     return out.withColumn(name, mean).drop(*(f"__b{i}" for i in range(len(models))))
 
 
-def log_loss(df: DataFrame, prob: str, label: str, *by: str) -> DataFrame:
+def _loss(prob: str, label: str) -> Column:
+    """A row's log loss; null without a label or a probability. Probabilities are held 1e-7 from 0 and 1, where one wrong row would make all infinite."""
     p = F.least(F.greatest(F.col(prob), F.lit(1e-7)), F.lit(1 - 1e-7))
-    loss = -(F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p))
-    return df.groupBy(*by).agg(F.round(F.avg(loss), 6).alias("log_loss"), F.round(F.avg(F.col(label).cast("double")), 6).alias("prior"), F.count("*").alias("n"))
+    return F.when(F.col(prob).isNotNull() & ~F.isnan(prob), -(F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p)))
+
+
+def log_loss(df: DataFrame, prob: str, label: str, *by: str, before: str | None = None) -> DataFrame:
+    """log_loss, prior and n of the rows that have a label and a probability; with ``before``, log_loss_before is that of another probability of the same rows."""
+    loss = _loss(prob, label)
+    mean = lambda c: F.round(F.avg(F.when(loss.isNotNull(), c)), 6)
+    also = [mean(_loss(before, label)).alias("log_loss_before")] if before else []
+    return df.groupBy(*by).agg(mean(loss).alias("log_loss"), *also, mean(F.col(label).cast("double")).alias("prior"), F.count(loss).alias("n"))

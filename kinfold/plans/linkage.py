@@ -328,9 +328,9 @@ class Run:
         return self.table("refined", make)
 
     def cross_checked(self) -> DataFrame:
-        """Log loss of two refiners, each on the fold that it wasn't trained on."""
+        """Log loss of two refiners, each on the fold that it wasn't trained on, and of the probability that they refine."""
         out, _ = models.cross_fit(self.among(self.features(), "train", "validate", "calibrate"), lambda: models.Trees(REFINED, self.s.trees, self.s.depth, least_rows=5), "y", ["s1_id", "country"])
-        return models.log_loss(out, "prob_oof", "y", "fold")
+        return models.log_loss(out, "prob_oof", "y", "fold", before="prob")
 
     def grid(self) -> DataFrame:
         """Macro F0.5 of every threshold and margin, on the tuning group."""

@@ -67,6 +67,37 @@ def test_expected_selection_of_long_lists(spark):
         assert len(taken["S1-a"]) == (40 if most is None else most)
 
 
+def _log_loss(y, p):
+    p = np.clip(np.array(p, float), 1e-7, 1 - 1e-7)
+    return float(-np.where(np.array(y) == 1, np.log(p), np.log(1 - p)).mean())
+
+
+def test_log_loss_of_odd_rows(spark):
+    """Rows without a label or a probability have no loss and aren't counted."""
+    rows = [(0, 1, 0.9, 0.6), (0, 0, 0.2, 0.4), (0, 1, None, 0.5), (0, None, 0.5, 0.5), (0, 0, float("nan"), 0.5), (1, 1, 0.0, 0.5), (1, 0, 0.0, 0.5), (2, 0, None, 0.5)]
+    df = spark.createDataFrame(rows, "fold int, y int, p double, b double")
+    plain = {r["fold"]: r for r in models.log_loss(df, "p", "y", "fold").collect()}
+    assert (plain[0]["log_loss"], plain[0]["n"]) == pytest.approx((_log_loss([1, 0], [0.9, 0.2]), 2), abs=1e-6)
+    got = {r["fold"]: r for r in models.log_loss(df, "p", "y", "fold", before="b").collect()}
+    assert tuple(got[0])[1:] == pytest.approx((_log_loss([1, 0], [0.9, 0.2]), _log_loss([1, 0], [0.6, 0.4]), 0.5, 2), abs=1e-6)
+    assert tuple(got[1])[1:] == pytest.approx((_log_loss([1, 0], [0.0, 0.0]), _log_loss([1, 0], [0.5, 0.5]), 0.5, 2), abs=1e-6)
+    assert tuple(got[2])[1:] == (None, None, None, 0)
+
+
+def test_cross_fit_oof_of_every_pair(spark, sf):
+    got = QUERIES["cross_fit_oof"](spark, sf).collect()
+    key = ["country", "src", "s1_id", "rec_id", "prob"]
+    assert sorted(tuple(r[c] for c in key) for r in got) == sorted(map(tuple, x.pairs(spark, sf).select(key).collect()))
+    assert len({(r["country"], r["s1_id"]) for r in got}) == len({(r["country"], r["s1_id"], r["fold"]) for r in got})
+    assert {r["fold"] for r in got} == {0, 1} and all(0 <= r["prob_oof"] <= 1 for r in got)
+    for k in (0, 1):
+        rows = [r for r in got if r["fold"] == k]
+        y = [r["y"] for r in rows]
+        want = _log_loss(y, [r["prob_oof"] for r in rows]), _log_loss(y, [r["prob"] for r in rows]), sum(y) / len(y), len(y)
+        assert {(r["log_loss"], r["log_loss_before"], r["prior"], r["n"]) for r in rows} == {tuple(rows[0][c] for c in ("log_loss", "log_loss_before", "prior", "n"))}
+        assert tuple(rows[0][c] for c in ("log_loss", "log_loss_before", "prior", "n")) == pytest.approx(want, abs=1e-4)
+
+
 def test_matches_are_candidates(spark, sf, pairs):
     s1, pool = x.sides(x.normed(spark, sf))
     chosen = decide.select(pairs, "expected")
